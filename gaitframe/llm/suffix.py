@@ -6,17 +6,19 @@ the corpus. The order of all suffixes is not needed for that, only which suffixe
 
 1. Of the ``q``-grams in each ``width``-byte window the one with the smallest hash is its
    anchor. Equal windows have equal anchors at equal places, so it is enough to bucket
-   the anchors (about one position in fifty). The q-gram is the first bucket.
+   the anchors (about one position in seventy). The q-gram is the first bucket; anchors
+   that are alone in theirs are done.
 2. A bucket is refined by what lies around the anchor: the hull, which is all bytes of
    the windows that the anchor stands for. Anchors with the same refined bucket share
-   all their windows; those are settled without looking at single windows. A bucket
-   that does not split, or that holds one anchor, is done.
-3. From each refined bucket of a first bucket that did split, one anchor goes on, and its
-   windows are compared one by one by bucket of 64 + 64 bits (anchor's and window's).
+   all their windows; those are settled without looking at single windows.
+3. From each refined bucket of a first bucket that did split, one anchor goes on with the
+   bytes of its hull, and its windows are refined one by one. A bucket with up to
+   ``MEET`` kinds of hulls meets in one task. Those of a larger one are counted by
+   window, summed on the map side first.
 
-Buckets are counted by hash aggregation, so that a string that every document has is
-summed on the map side and is nowhere a single large group; an anchor that many share
-goes back to its documents by a join that Spark may split.
+Buckets are counted by hash aggregation, so a string that every document has is nowhere
+a single large group; what many share goes back to its documents by joins that Spark may
+split. A text is named by its 64-bit hash, and equal texts lose the same bytes.
 
 Null text is empty. Matches never cross documents. Repeated rows are separate documents
 (each covers the other). Extra columns are ignored; an empty table gives no rows.
@@ -28,12 +30,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaitframe.llm.shared import Hashes, byte_slices, list_array, mix, signed
+from gaitframe.llm.shared import Hashes, byte_slices, list_array, mix, settle, signed
 
-ANCHORS = "rid struct<doc_id:long,text_key:long,nth:int>, anchor long, hull long, first int, windows int"
+ANCHORS = "text_key long, anchor long, hull long, first int, windows int"
+#: Kinds of hulls of a bucket that meet in one task, each of under 2 * width bytes.
+MEET = 4096
 SLICE = 1 << 18
 _LOW = np.uint64(0xFFFFFF)
 
@@ -94,33 +98,100 @@ def _anchors(docs: DataFrame, width: int, q: int) -> DataFrame:
             for lo, _, data, off in byte_slices(b.column(1), SLICE):
                 row, anchor, hull, first, windows = anchors_of(data, off, width, q)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + row)), pa.array(signed(anchor)), pa.array(signed(hull)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32))], ["rid", "anchor", "hull", "first", "windows"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + row)), pa.array(signed(anchor)), pa.array(signed(hull)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32))], ["text_key", "anchor", "hull", "first", "windows"])
 
-    return docs.select("rid", "text").mapInArrow(rows, ANCHORS)
+    return docs.select("text_key", "text").mapInArrow(rows, ANCHORS)
 
 
-def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """(anchor, window hash, rid, start) of the windows of listed anchors of documents."""
+def _hulls(docs: DataFrame, width: int) -> DataFrame:
+    """The bytes of listed hulls: docs has text_key, text and asked (anchor, first, windows)."""
+    schema = "anchor long, text_key long, first int, windows int, hull binary"
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def rows(batches):
         for b in batches:
-            spans = b.column(2).to_pylist()
-            for lo, hi, data, off in byte_slices(b.column(1), SLICE):
-                h = Hashes(data)
-                first = np.concatenate([[x["first"] + off[i] for x in spans[lo + i]] for i in range(hi - lo)]).astype(np.int64)
-                count = np.concatenate([[x["windows"] for x in spans[lo + i]] for i in range(hi - lo)]).astype(np.int64)
-                anchor = np.concatenate([[x["anchor"] for x in spans[lo + i]] for i in range(hi - lo)]).astype(np.int64)
-                row = np.repeat(np.arange(hi - lo), [len(spans[lo + i]) for i in range(hi - lo)])
-                each = np.repeat(np.arange(len(first)), count)
-                at = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-                value = mix(h.of(at, at + width))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[each]), pa.array(signed(value)), b.column(0).take(pa.array(lo + row[each])), pa.array((at - off[row[each]]).astype(np.int32))], ["anchor", "value", "rid", "start"])
+            keys, asked = b.column(0).to_pylist(), b.column(2)
+            texts = b.column(1).cast(pa.large_binary())
+            for at in range(0, b.num_rows, 64):
+                out = []
+                for i in range(at, min(at + 64, b.num_rows)):
+                    raw = texts[i].as_py()
+                    for x in asked[i].as_py():
+                        out.append((x["anchor"], keys[i], x["first"], x["windows"], raw[x["first"] : x["first"] + x["windows"] - 1 + width]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "text_key", "first", "windows", "hull"])
+
+    return docs.select("text_key", "text", "asked").mapInArrow(rows, schema)
+
+
+def _each_window(hulls: pa.RecordBatch, width: int):
+    """For every window of some hulls: the hull's number, the place in it, the window's hash."""
+    for lo, _, data, off in byte_slices(hulls.column(4), SLICE):
+        count = np.diff(off) - width + 1
+        each = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+        at = off[each] + place
+        yield lo + each, place, mix(Hashes(data).of(at, at + width))
+
+
+RANGES = "text_key long, start int, end int"
+
+
+def _meet(hulls: DataFrame, width: int) -> DataFrame:
+    """Ranges that the repeated windows of each bucket's hulls cover; a bucket meets in one task."""
+
+    def refine(held):
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        hull, place, value = (np.concatenate(x) for x in zip(*_each_window(t, width), strict=True))
+        bucket = t.column(0).to_numpy()[hull]
+        order = np.lexsort((value, bucket))
+        same = (value[order][1:] == value[order][:-1]) & (bucket[order][1:] == bucket[order][:-1])
+        again = np.zeros(len(value), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        hull, place = hull[again], place[again]  # still by hull, then place
+        if not len(hull):
+            return None
+        new = np.flatnonzero(np.r_[True, (hull[1:] != hull[:-1]) | (place[1:] != place[:-1] + 1)])
+        last = np.r_[new[1:], len(hull)] - 1
+        first = t.column(2).to_numpy()[hull[new]]
+        return pa.RecordBatch.from_arrays([t.column(1).take(pa.array(hull[new])), pa.array((first + place[new]).astype(np.int32)), pa.array((first + place[last] + width).astype(np.int32))], ["text_key", "start", "end"])
 
-    return docs.mapInArrow(rows, "anchor long, value long, rid struct<doc_id:long,text_key:long,nth:int>, start int")
+    def rows(batches):
+        held, size = [], 0
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            at = 0
+            for cut in [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1)[::50], b.num_rows]:
+                if held and at < b.num_rows and size > 1 << 20 and keys[at] != held[-1].column(0)[-1].as_py():
+                    if (out := refine(held)) is not None:
+                        yield out
+                    held, size = [], 0
+                held.append(b.slice(at, cut - at))
+                size += held[-1].nbytes
+                at = cut
+        if held and sum(len(x) for x in held) and (out := refine(held)) is not None:
+            yield out
+
+    return hulls.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, RANGES)
+
+
+def _count(hulls: DataFrame, width: int) -> DataFrame:
+    """The same for buckets of any size, by sums over all windows."""
+
+    def rows(batches):
+        for b in batches:
+            if b.num_rows:
+                for hull, place, value in _each_window(b, width):
+                    first = b.column(2).to_numpy()[hull]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hull)), pa.array(signed(value)), b.column(1).take(pa.array(hull)), pa.array((first + place).astype(np.int32))], ["anchor", "value", "text_key", "start"])
+
+    w = hulls.mapInArrow(rows, "anchor long, value long, text_key long, start int")
+    again = w.groupBy("anchor", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return w.join(again, ["anchor", "value"]).select("text_key", "start", (F.col("start") + width).cast("int").alias("end"))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """What is left of each document: docs has rid, text and ranges (null or start and end)."""
+    """What is left of each document: docs has doc_id, text and ranges (null or start and end)."""
 
     def rows(batches):
         for b in batches:
@@ -142,42 +213,34 @@ def _cut(docs: DataFrame) -> DataFrame:
                     digest[lo + i] = hashlib.sha256(text).hexdigest()
             counts = np.array([len(x[0]) for x in kept])
             lists = [list_array(np.array([v for x in kept for v in x[k]], np.int64), counts, pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (size, gone, runs)), pa.array(digest, pa.string()), *lists], ["rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (size, gone, runs)), pa.array(digest, pa.string()), *lists], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
 
-    return docs.select("rid", "text", "ranges").mapInArrow(rows, "rid struct<doc_id:long,text_key:long,nth:int>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    return docs.select("doc_id", "text", "ranges").mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
 
 
-def repeated_spans(docs: DataFrame, width: int = 200, q: int = 100) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 200, q: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the removed runs (starts, ends)."""
-    key = F.xxhash64("text")
-    # one exchange of the texts, which every step below reads again
-    laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), F.col("text").cast("string").alias("text"))
-    same = Window.partitionBy("doc_id", "text_key").orderBy("doc_id")
-    laid = laid.withColumn("nth", F.row_number().over(same))
-    laid = laid.select("doc_id", "text_key", F.struct("doc_id", "text_key", "nth").alias("rid"), "text")
+    laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     a = _anchors(laid, width, q)
-    place = F.struct("rid", "first", "windows")
-    hulls = a.groupBy("anchor", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
-    buckets = hulls.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")).where("kinds > 1 OR most > 1")
-    live = hulls.join(buckets, "anchor").select("anchor", "hull", "n", "one", "kinds")
+    seen = a.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    live = settle(a.join(seen, "anchor", "left_semi"), "anchors")
+    hulls = live.groupBy("anchor", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "first", "windows")).alias("one"))
+    kinds = hulls.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     # refined buckets of more than one anchor: all their windows repeat
-    whole = a.join(live.where("n > 1").select("anchor", "hull"), ["anchor", "hull"])
-    whole = whole.select("rid", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + width).alias("end"))
-    # one anchor of each refined bucket of a bucket that split: window by window
-    ask = live.where("kinds > 1").select("one.rid", F.struct("anchor", "one.first", "one.windows").alias("x"))
-    ask = ask.groupBy(F.col("rid.doc_id").alias("doc_id"), F.col("rid.text_key").alias("text_key"), "rid").agg(F.collect_list("x").alias("asked"))
-    asked = laid.join(ask, ["doc_id", "text_key", "rid"]).select("rid", "text", "asked")
-    w = _windows(asked, width)
-    pairs = w.groupBy("anchor", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start")).alias("low"), F.max(F.struct("rid", "start")).alias("high")).where("n > 1")
-    single = _spread(w, pairs, width)
-    ranges = whole.unionByName(single).groupBy(F.col("rid.doc_id").alias("doc_id"), F.col("rid.text_key").alias("text_key"), "rid")
-    ranges = ranges.agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    out = _cut(laid.join(ranges, ["doc_id", "text_key", "rid"], "left"))
-    return out.select("rid.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")
-
-
-def _spread(w: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """Every place of the windows that repeat: the two that the sums name, and by a join those of three and more."""
-    two = pairs.select(F.explode(F.array("low", "high")).alias("x")).select("x.rid", "x.start")
-    more = w.join(pairs.where("n > 2").select("anchor", "value"), ["anchor", "value"]).select("rid", "start")
-    return two.unionByName(more).select("rid", "start", (F.col("start") + width).alias("end"))
+    whole = live.join(hulls.where("n > 1").select("anchor", "hull"), ["anchor", "hull"])
+    whole = whole.select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + width).cast("int").alias("end"))
+    # one anchor of each refined bucket of a bucket that split goes on with one document of its text
+    ask = hulls.join(kinds, "anchor").select(F.col("one.text_key").alias("text_key"), (F.col("kinds") > MEET).alias("large"), F.struct("anchor", "one.first", "one.windows").alias("x"))
+    ask = settle(ask.groupBy("text_key", "large").agg(F.collect_list("x").alias("asked")), "asked")
+    id_or_least = F.coalesce("doc_id", F.lit(-(2**63)))
+    named = laid.groupBy("text_key").agg(F.min(id_or_least).alias("one_doc"))
+    any_large = not ask.where("large").isEmpty()
+    ask = ask.join(named, "text_key")
+    # the texts are shuffled once: both joins by text_key read the same exchange
+    asked = laid.join(ask, "text_key").where(id_or_least == F.col("one_doc"))
+    ranges = whole.unionByName(_meet(_hulls(asked.where("NOT large"), width), width))
+    if any_large:
+        ranges = ranges.unionByName(_count(_hulls(asked.where("large"), width), width))
+    ranges = ranges.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    out = _cut(laid.join(ranges, "text_key", "left"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")

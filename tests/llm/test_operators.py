@@ -217,8 +217,9 @@ def brute_spans(texts, width):
     return gone
 
 
-@pytest.mark.parametrize("width, q", [(200, 100), (20, 7)])
-def test_suffix(docs, rows, empty, width, q):
+@pytest.mark.parametrize("width, q, meet", [(200, 50, 4096), (20, 7, 4096), (20, 7, 3)])
+def test_suffix(docs, rows, empty, monkeypatch, width, q, meet):
+    monkeypatch.setattr(suffix, "MEET", meet)
     few = docs if width == 200 else docs.where("length(text) < 4000 OR text IS NULL")
     mine = few.select("doc_id", "text").collect()
     texts = [(r.text or "").encode() for r in mine]
