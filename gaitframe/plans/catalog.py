@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaitframe.plans import motion, oracles
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in motion.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
