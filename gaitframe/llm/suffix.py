@@ -222,7 +222,8 @@ def repeated_spans(docs: DataFrame, width: int = 200, q: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the removed runs (starts, ends)."""
     laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     a = _anchors(laid, width, q)
-    seen = a.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written first, so that the join below has plain exchanges on both sides and Spark can split a common anchor
+    seen = settle(a.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "seen")
     live = settle(a.join(seen, "anchor", "left_semi"), "anchors")
     hulls = live.groupBy("anchor", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "first", "windows")).alias("one"))
     kinds = hulls.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
