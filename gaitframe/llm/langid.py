@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitframe.llm import charmodel as cm
-from gaitframe.llm.shared import byte_slices, settle
+from gaitframe.llm.shared import MOST_BROADCAST, byte_slices, settle
 
 SCORES = "doc_id long, held_out boolean, lang string, lang_pred string, score double, bits double"
 
@@ -69,8 +69,11 @@ def score(docs: DataFrame, models: dict[str, cm.Model]) -> DataFrame:
 
 def identify(docs: DataFrame, reject: float = 0.999) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits, rejected of every document."""
-    scored = settle(score(docs, learn(docs)), "langid")
+    models = learn(docs)
+    scored = settle(score(docs, models), "langid")
     own = scored.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
     limit = own.groupBy("lang_pred").agg(F.percentile_approx("bits", reject, 10_000).alias("most"))
+    # a row a model at most, and the driver has held all models: a common language is then no single task
+    limit = F.broadcast(limit) if len(models) <= MOST_BROADCAST else limit
     out = scored.drop("lang").join(limit, "lang_pred", "left")
     return out.select("doc_id", "held_out", "lang_pred", "score", "bits", F.coalesce(F.col("bits") > F.col("most"), F.lit(True)).alias("rejected"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
+#: Rows of a side that is broadcast by count: a few MB.
+MOST_BROADCAST = 50_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Words as the contracts state them, for Spark's and DuckDB's regular expressions.
