@@ -191,12 +191,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin:
     classes = settle(classes_of(d), "classes")
     # candidate groups
     banded = classes.select("id", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
+    # written first, like the sizes below, so that Spark can split a large bucket or group in the join after it
+    heads = settle(banded.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last"), "heads")
     star = banded.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     groups = settle(components(star).withColumnRenamed("root", "group"), "groups")
     seeds = range(1, 5)
     pick = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("id")))["id"] for s in seeds]
-    # written first, so that Spark can split a large group in the join below
     sizes = settle(groups.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*pick)).alias("pivots")), "sizes")
     members = classes.select("id", "text_key", "packed").join(groups.withColumnRenamed("node", "id"), "id").join(sizes, "group")
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
