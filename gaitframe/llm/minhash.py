@@ -14,9 +14,10 @@
    of the group, chunk by chunk, so that no link between parts is lost.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing.
-Fewer words than a shingle: the whole sequence is one shingle. Rows that share a doc_id
-are one node. Rows with a null doc_id keep a null component unless their class has an id.
-Extra columns are ignored; an empty table gives no rows.
+Fewer words than a shingle: the whole sequence is one shingle. A class is one node,
+whatever ids its rows have: null ids and repeated ids link no texts. A component is named
+by its smallest doc_id; where no row has one its name is null and the text with the
+smallest key is kept. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -180,27 +181,29 @@ def _compare(rows: DataFrame, words: int, percent: int, margin: float) -> DataFr
 
 
 def classes_of(d: DataFrame) -> DataFrame:
-    """One row per distinct set: its smallest doc_id, the key of that text, size, bands, signature."""
-    top = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text_key", "bands", "packed")).alias("top")
-    return d.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(top).select("set_a", "set_b", "n_shingles", F.col("top.doc_id").alias("id"), "top.text_key", "top.bands", "top.packed")
+    """One row per distinct set: its smallest doc_id (null if none has one), the key of that text, size, bands, signature."""
+    top = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "bands", "packed")).alias("top")
+    return d.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(top).select("set_a", "set_b", "n_shingles", "top.doc_id", "top.text_key", "top.bands", "top.packed")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin: float = 0.3) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept of every document."""
     d = settle(digests(docs, words), "minhash")
-    classes = settle(classes_of(d), "classes")
+    # a class is a node by a number of its own, fixed by the written table; ids name the components at the end only
+    classes = settle(classes_of(d).withColumn("id", F.monotonically_increasing_id()), "classes")
     # candidate groups
     banded = classes.select("id", F.explode("bands").alias("key"))
     # written first, like the sizes below, so that Spark can split a large bucket or group in the join after it
     heads = settle(banded.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last"), "heads")
     star = banded.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     groups = settle(components(star).withColumnRenamed("root", "group"), "groups")
+    no_id = F.lit(2**63 - 1)  # only to find a text: the key of the text is compared as well
     seeds = range(1, 5)
     pick = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("id")))["id"] for s in seeds]
     sizes = settle(groups.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*pick)).alias("pivots")), "sizes")
-    members = classes.select("id", "text_key", "packed").join(groups.withColumnRenamed("node", "id"), "id").join(sizes, "group")
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    full = settle(text.join(members, ["id", "text_key"]).dropDuplicates(["id", "text_key"]), "members")
+    members = classes.select("id", F.coalesce("doc_id", no_id).alias("of"), "text_key", "packed").join(groups.withColumnRenamed("node", "id"), "id").join(sizes, "group")
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("of"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    full = settle(text.join(members, ["of", "text_key"]).dropDuplicates(["id"]).drop("of"), "members")
     chunks = F.ceil(F.col("members") / CHUNK)
     deal = F.pmod(F.xxhash64("id", F.lit(99)), chunks)
     pivot = (F.col("members") > CHUNK) & F.array_contains("pivots", F.col("id"))
@@ -222,9 +225,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin:
         meet = left.select("group", "r", "c", "side", "id", "label", "packed", "text").unionByName(right.select("group", "r", "c", "side", "id", "label", "packed", "text"))
         more = _compare(meet.withColumn("block", F.xxhash64("group", "r", "c")), words, percent, margin)
         links = settle(links.union(more), "links")
-    root = components(links)
-    named = classes.select("set_a", "set_b", "n_shingles", "id").join(root.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("set_a", "set_b", "n_shingles", F.nullif(F.coalesce("root", "id"), F.lit(2**63 - 1)).alias("root"))
+    root = components(links).withColumnRenamed("node", "id").join(classes.select("id", "doc_id", "text_key"), "id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("least")
+    # written first, so that Spark can split a large component in the join after it
+    least = settle(root.groupBy("root").agg(least).select("root", F.col("least.doc_id").alias("least_id"), F.col("least.text_key").alias("least_key")), "least")
+    root = root.select("id", "root").join(least, "root").select("id", "least_id", "least_key")
+    named = classes.select("set_a", "set_b", "n_shingles", "id", "doc_id", "text_key").join(root, "id", "left")
+    named = named.select("set_a", "set_b", "n_shingles", F.coalesce("least_id", "doc_id").alias("component"), F.coalesce("least_key", "text_key").alias("key"))
     out = d.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    comp = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    comp = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    one = F.col("component").isNotNull() | F.col("key").isNull() | (F.col("text_key") == F.col("key"))
+    return out.select("doc_id", "text_key", "n_shingles", comp.alias("component_id"), (F.col("doc_id").eqNullSafe(comp) & one).alias("kept"))

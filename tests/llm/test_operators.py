@@ -320,6 +320,19 @@ def test_minhash_takes_nulls(docs):
     assert len(out) == docs.count() and {r.component_id for r in out if r.doc_id is None} == {None}
 
 
+def test_minhash_null_ids_link_nothing(spark):
+    def text(k, change=None):
+        return " ".join("changed" if i == change else f"{k}{i}" for i in range(100))
+
+    rows = [(1, text("a")), (None, text("a", 50)), (2, text("b")), (None, text("b", 50)), (None, text("c")), (None, text("c", 50)), (None, text("c", 50).upper()), (None, text("d"))]
+    rows += [(3, text("e")), (9, text("e", 50)), (4, text("f")), (9, text("f", 50)), (None, ""), (2**63 - 1, text("g"))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in out)
+    want = Counter([(1, 1, True), (None, 1, False), (2, 2, True), (None, 2, False), (None, None, True), (None, None, False), (None, None, False), (None, None, True)])
+    want += Counter([(3, 3, True), (9, 3, False), (4, 4, True), (9, 4, False), (None, None, True), (2**63 - 1, 2**63 - 1, True)])
+    assert got == want
+
+
 def test_signature_similarity():
     a = np.random.default_rng(4).integers(0, 2**63, (2, 4), dtype=np.uint64)
     assert minhash.agreement(a[0], a[:1])[0] == 1
