@@ -1,10 +1,12 @@
 """Secret scan: stated patterns, and windows of high Shannon entropy.
 
-Candidates for the entropy scan are maximal runs of base64-like characters. A window of
-fixed width slides over each; its entropy follows from character counts that change by
-one character in and one out. Windows over their character class's threshold join to
-spans. Allow-listed strings (UUIDs, placeholders) are left out, and so is a span that
-lies inside one of the stated patterns.
+The entropy scan looks at maximal runs of base64-like characters. A window of fixed width
+slides over each; its entropy follows from character counts that change by one character
+in and one out. Its threshold is that of its own characters' class, so what stands before
+or after a secret does not count. Windows that overlap an allow-listed string (UUIDs,
+placeholders) are left out, and no others. A finding is the whole candidate: the parts of
+the run, between ``=``, ``/``, ``_`` and allow-listed strings, that a window over its
+threshold touches. One that lies inside a stated pattern is left out.
 
 Null text is empty. Positions are code points. Every row gives a row; repeated rows
 repeat. Extra columns are ignored.
@@ -29,20 +31,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-#: Parts of a candidate that mark it as a sample and not a secret.
+#: Windows that overlap one belong to a sample and not to a secret.
 ALLOWED = ("example", "placeholder", "changeme", "your_", "dummy", "abcdefghijklmnop", "0123456789")
 WIDTH = 20
-#: Bits a character that a window must reach, by the characters the candidate holds.
-BITS = {"hex": 2.9, "alnum": 3.6, "mixed": 3.9}
+#: Bits a character that a window must reach, by the class of its characters: about one in
+#: a thousand windows of WIDTH random characters of the class (16, 36, 62 of them) has less.
+BITS = {"hex": 2.70, "alnum": 3.22, "mixed": 3.48}
 
 SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+_PARTS = re.compile(r"[^=/_]+")
 _RUN_BYTE = np.zeros(256, bool)
 _RUN_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 
 
 def entropy_spans(s: str, width: int = WIDTH, bits: float = 3.6) -> list[tuple[int, int]]:
     """Unions of the windows of ``s`` whose entropy is at least ``bits``."""
-    step = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    step = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]  # a window and the next character may be one
     counts: dict[str, int] = {}
     total = 0.0  # sum of c * log2(c)
     out: list[tuple[int, int]] = []
@@ -73,6 +77,43 @@ def kind_of(s: str) -> str | None:
     return "mixed" if lower and upper else "alnum"
 
 
+def _hits(s: str, bits: dict[str, float], width: int) -> list[tuple[int, int]]:
+    """Unions of the windows of ``s`` that reach the threshold of their own class."""
+    out: list[tuple[int, int]] = []
+    least = min(bits.values())
+    for a, b in entropy_spans(s, width, least):
+        for i in range(a, b - width + 1):
+            kind = kind_of(s[i : i + width])
+            if kind is None or not entropy_spans(s[i : i + width], width, bits[kind]):
+                continue
+            if out and i <= out[-1][1]:
+                out[-1] = (out[-1][0], i + width)
+            else:
+                out.append((i, i + width))
+    return out
+
+
+def candidates(run: str, bits: dict[str, float] = BITS, width: int = WIDTH) -> list[tuple[int, int]]:
+    """The findings of a run: whole parts of it that high windows touch, clear of allow-listed strings."""
+    low = run.lower()
+    allowed = [m.span() for m in UUID.finditer(run)]
+    allowed += [(m.start(), m.end()) for a in ALLOWED for m in re.finditer(re.escape(a), low)]
+    out, at = [], 0
+    for s, e in [*sorted(allowed), (len(run), len(run))]:
+        if s - at >= width:
+            piece = run[at:s]
+            parts = [m.span() for m in _PARTS.finditer(piece)]
+            for a, z in _hits(piece, bits, width):
+                mine = [p for p in parts if p[0] < z and p[1] > a]
+                a, z = at + min(a, mine[0][0]), at + max(z, mine[-1][1])
+                if out and a <= out[-1][1]:
+                    out[-1] = (out[-1][0], max(z, out[-1][1]))
+                else:
+                    out.append((a, z))
+        at = max(at, e)
+    return out
+
+
 def scan_text(text: str, bits: dict[str, float] = BITS, width: int = WIDTH) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every finding, by start and then kind."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -82,10 +123,7 @@ def scan_text(text: str, bits: dict[str, float] = BITS, width: int = WIDTH) -> l
         found += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(run) if m.end() - m.start() >= 24]
     base = list(found)
     for at, run in runs:
-        kind = kind_of(run)
-        if kind is None or UUID.search(run) or any(a in run.lower() for a in ALLOWED):
-            continue
-        for s, e in entropy_spans(run, width, bits[kind]):
+        for s, e in candidates(run, bits, width):
             if not any(b[0] <= at + s and at + e <= b[1] for b in base):
                 found.append((at + s, at + e, "entropy"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))

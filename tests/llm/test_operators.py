@@ -149,6 +149,22 @@ def test_entropy_windows_follow_brute_force():
         assert hit == {i for a, b in got for i in range(a, b)}
 
 
+def test_entropy_takes_whole_candidates_and_no_context():
+    key, upper, uuid = "kJ8s7Hq2LmZ0xVb4Nw6RtY1uQ3eD5cAf", "9F3A61C07B2ED8459AC1F06B7E32D854", "123e4567-e89b-12d3-a456-426614174000"
+    for before in (f"{uuid}/", "example_key=", "id=", "see a/b_", "your_"):
+        for secret in (key, upper, key[:16] + "/" + key[16:]):
+            text = f"{before}{secret} end"
+            covered = {i for s, e, _ in secrets.scan_text(text) for i in range(s, e)}
+            assert covered >= set(range(len(before), len(before) + len(secret)))
+    assert secrets.scan_text(f"{uuid}/{uuid} example_0123456789_abcdefghijklmnop") == []
+    assert secrets.scan_text("a1" + "x" * 40) == []
+    r = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    for size, most in ((20, 40), (36, 10)):  # of a thousand; a digit has to be there
+        tokens = ["".join(r.choice(letters, size)) for _ in range(1000)]
+        assert sum(secrets.scan_text(x) != [(0, size, "entropy")] for x in tokens) <= most
+
+
 def test_redact(docs):
     out = secrets.redact(docs)
     assert out.schema == docs.schema and out.count() == docs.count()
