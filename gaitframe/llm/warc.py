@@ -6,9 +6,12 @@ payloads of at least ``least`` bytes become revisit records of the one with the
 page_id; the digests are compared with salted keys, so that a payload that a third of
 the pages share is no single group.
 
-The reader takes whole archive files, plain or with a gzip member a record. A record
-counts if its version line, its headers, its length, its end and its payload digest
-hold. When a check fails it goes on at the next gzip member or version line from which a
+The reader takes whole archive files, plain or in gzip members of one or more records. A
+record counts if its version line, its headers (folded lines too), its length, its end
+and its payload digest hold. The digest is in hex or base32 of the algorithm that its
+label names, over the record block or the HTTP payload; one that cannot be checked
+(another algorithm, another size) fails no record. Records and gaps of one gzip member
+carry the member's range; a member that does not unpack is quarantined whole. When a check fails it goes on at the next gzip member or version line from which a
 record can be read, and lists the bytes between as quarantined.
 
 Null html is an empty payload. Pages that share the smallest page_id of a payload are
@@ -18,6 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -80,6 +84,42 @@ def gzip_member(record: bytes) -> bytes:
     return c.compress(record) + c.flush()
 
 
+def _unchunked(body: bytes) -> bytes | None:
+    """What a chunked HTTP body holds, None if it is not one."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]*\r\n").match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return None
+
+
+def _differs(digest: str, body: bytes) -> bool:
+    """Whether a digest (sha256 if it has no label) fits neither the block nor its HTTP payload."""
+    label, sep, value = digest.rpartition(":")
+    name = label.strip().lower().replace("-", "") if sep else "sha256"
+    value = value.strip()
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return False
+    size = hashlib.new(name).digest_size
+    try:
+        want = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8))
+    except ValueError:
+        return bool(re.fullmatch("[^=]{%d}" % (2 * size), value))
+    if len(want) != size:
+        return False
+    forms = [body]
+    if body.startswith(b"HTTP/"):
+        head, end, payload = body.partition(b"\r\n\r\n")
+        if end:
+            forms.append(payload)
+            if re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head) and (whole := _unchunked(payload)) is not None:
+                forms.append(whole)
+    return all(hashlib.new(name, x).digest() != want for x in forms)
+
+
 def _parse(raw: bytes, at: int) -> tuple[int, dict]:
     """The record at ``at`` in plain bytes: its end and fields. ValueError if a check fails."""
     m = HEADS.match(raw, at)
@@ -89,7 +129,7 @@ def _parse(raw: bytes, at: int) -> tuple[int, dict]:
     if stop < 0:
         raise ValueError("headers do not end")
     fields = {}
-    for row in raw[m.end() : stop].split(b"\r\n"):
+    for row in re.sub(rb"\r\n[ \t]+", b" ", raw[m.end() : stop]).split(b"\r\n"):
         name, sep, value = row.partition(b":")
         if not sep:
             raise ValueError("bad header line")
@@ -102,7 +142,7 @@ def _parse(raw: bytes, at: int) -> tuple[int, dict]:
         raise ValueError("no end of record")
     body = raw[start:end]
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    if fields.get("warc-type") == "response" and digest and hashlib.sha256(body).hexdigest() != digest:
+    if fields.get("warc-type") == "response" and _differs(digest, body):
         raise ValueError("digest differs")
     return end + 4, fields | {"body": body, "digest": digest}
 
@@ -128,18 +168,22 @@ def _id(value: str | None) -> int | None:
 
 
 def salvage(raw: bytes):
-    """Yield (start, end, fields or None, reason): records and quarantined gaps, in order, without holes."""
+    """Yield (start, end, fields or None, reason): records and quarantined gaps, in order, without holes.
+
+    What one gzip member holds has the member's start and end.
+    """
     at = bad = 0
     reason = ""
     while at < len(raw):
         try:
             if raw[at : at + 2] == b"\x1f\x8b":
                 end, plain = _member(raw, at)
-                stop, fields = _parse(plain, 0)
-                if stop != len(plain):
-                    raise ValueError("more than a record in a member")
+                inside = [(f, why) for _, _, f, why in salvage(plain)]
+                if all(f is None for f, _ in inside):
+                    raise ValueError(inside[0][1] if inside else "empty member")
             else:
                 end, fields = _parse(raw, at)
+                inside = [(fields, "")]
         except ValueError as e:
             reason = reason or str(e)
             marks = [i for i in (raw.find(b"WARC/1.", at + 1), raw.find(b"\x1f\x8b\x08", at + 1)) if i > 0]
@@ -147,7 +191,8 @@ def salvage(raw: bytes):
             continue
         if bad < at:
             yield bad, at, None, reason
-        yield at, end, fields, ""
+        for fields, why in inside:
+            yield at, end, fields, why
         at = bad = end
         reason = ""
     if bad < len(raw):

@@ -1,5 +1,6 @@
 """Every numbered operator against brute force, on real rows and on awkward ones."""
 
+import base64
 import gzip
 import hashlib
 import re
@@ -424,6 +425,24 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == []
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_salvage_takes_usual_archives(packed):
+    html = b"<p>text</p>" * 20
+    chunked = b"b\r\n" + html[:11] + b"\r\n" + b"%x\r\n" % (len(html) - 11) + html[11:] + b"\r\n0\r\n\r\n"
+    plain, sent = b"HTTP/1.1 200 OK\r\n\r\n" + html, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked
+    b32 = base64.b32encode(hashlib.sha1(html).digest())
+    sha256 = hashlib.sha256(html).hexdigest().encode()
+    block = base64.b32encode(hashlib.sha256(plain).digest())
+    wrong = base64.b32encode(hashlib.sha1(b"other").digest())
+    cases = [(plain, b"sha1:" + b32), (sent, b"sha1:" + b32), (plain, b"sha-256:\r\n " + sha256.upper()), (plain, b"sha256:" + block), (plain, b"SHA256:" + block.rstrip(b"=")), (plain, b"blake9:xyz"), (plain, b"sha1:" + wrong), (plain, b"md5:" + hashlib.md5(plain).hexdigest().encode())]
+    made = [b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, d, len(body), body) for i, (body, d) in enumerate(cases)]
+    raw = warc.gzip_member(b"".join(made)) + warc.gzip_member(made[0]) if packed else b"".join(made)
+    out = list(warc.salvage(raw))
+    ids = [f["warc-record-id"] for _, _, f, _ in out if f]
+    assert ids == [f"<urn:page:{i}>" for i in (0, 1, 2, 3, 4, 5, 7, *[0] * packed)]
+    assert [reason for _, _, f, reason in out if f is None] == ["digest differs"]
+
+
 def test_empty_frames_keep_their_schema(spark):
     assert pd.DataFrame(quality.judge(spark.createDataFrame([], SCHEMA)).toPandas()).empty
     assert F is not None
