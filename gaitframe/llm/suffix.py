@@ -1,8 +1,10 @@
-"""Exact removal of repeated byte strings, by bucket-pointer refinement of sampled suffixes.
+"""Exact removal of repeated byte strings, by minimiser anchors and hashes of windows.
 
 A byte goes if a string of ``width`` bytes that covers it also starts anywhere else in
 the corpus. The order of all suffixes is not needed for that, only which suffixes share
-``width`` bytes, so the buckets are refined until that is known:
+``width`` bytes. This is not bucket-pointer refinement: no position carries a bucket id,
+and no bucket is refined by the bucket of a later offset. Windows are grouped by anchor,
+then by hash of their hull, then by hash of themselves:
 
 1. Of the ``q``-grams in each ``width``-byte window the one with the smallest hash is its
    anchor. Equal windows have equal anchors at equal places, so it is enough to bucket
