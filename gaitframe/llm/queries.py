@@ -35,7 +35,7 @@ def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = warc.read_archives(spark, path, payloads=False).where("kind = 'record'")
+    records = warc.whole(warc.read_archives(spark, path, payloads=False))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

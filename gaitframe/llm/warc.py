@@ -11,8 +11,11 @@ record counts if its version line, its headers (folded lines too), its length, i
 and its payload digest hold. The digest is in hex or base32 of the algorithm that its
 label names, over the record block or the HTTP payload; one that cannot be checked
 (another algorithm, another size) fails no record. Records and gaps of one gzip member
-carry the member's range; a member that does not unpack is quarantined whole. When a check fails it goes on at the next gzip member or version line from which a
-record can be read, and lists the bytes between as quarantined.
+carry the member's range; a member that does not unpack is quarantined whole. When a
+check fails it goes on at the next gzip member or version line from which a record can
+be read, and lists the bytes between as quarantined. Each mark is searched for once, so
+an archive of nothing but damage takes linear time. A file has to fit a task and Spark's
+2 GiB for a binary value; a longer one is an error and not a gap.
 
 Null html is an empty payload. Pages that share the smallest page_id of a payload are
 all written whole. A null page_id is written whole and read back as null. Extra columns
@@ -30,25 +33,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaitframe.llm.shared import MOST_BROADCAST, settle
+
 SALTS = 16
+#: Bytes that a record's headers, and what a gzip member holds, have at most.
+MOST_HEAD, MOST_MEMBER = 1 << 20, 1 << 30
 VERSION = b"WARC/1.1\r\n"
 HEADS = re.compile(rb"WARC/1\.[01]\r\n")
+MARKS = (b"WARC/1.", b"\x1f\x8b\x08")
 RECORDS = "file string, start long, end long, kind string, page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
 
 
 def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
-    """Digest, size, type and target of every page's record, with its payload."""
+    """Digest, size, type and target of every page's record, with its payload.
+
+    Only digests and ids are shuffled. Payloads stay where they are as long as those that
+    several pages share are few enough to be broadcast; beyond that they move once, to
+    their digest and one of SALTS places, so that no payload is a single group.
+    """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     p = p.withColumns({"payload_digest": F.sha2(F.col("body").cast("binary"), 256), "payload_bytes": F.octet_length("body").cast("long")})
-    firsts = p.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # a row a shared payload and salt: the pages of one payload meet it in SALTS places
-    firsts = firsts.select(F.col("payload_digest").alias("_digest"), "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
-    salted = p.select("page_id", "payload_digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")).where("page_id IS NOT NULL")
-    later = salted.join(firsts, (F.col("payload_digest") == F.col("_digest")) & (F.col("salt") == F.col("_salt"))).where("page_id > first")
-    later = later.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_of"), F.col("first").alias("refers_to")).distinct()
-    out = p.join(later, (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_of")), "left").drop("_page", "_of")
-    return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    seen = p.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    firsts = settle(seen.where("last > first").select(F.col("payload_digest").alias("_digest"), "first"), "firsts")
+    same = F.col("payload_digest") == F.col("_digest")
+    if firsts.count() <= MOST_BROADCAST:
+        out = p.join(F.broadcast(firsts), same, "left")
+    else:
+        firsts = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(firsts, same & (F.col("salt") == F.col("_salt")), "left")
+    out = out.withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
+    return out.select("page_id", "url", "body", "payload_digest", "payload_bytes", "refers_to", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"))
 
 
 def record_text(planned: DataFrame) -> DataFrame:
@@ -96,8 +111,8 @@ def _unchunked(body: bytes) -> bytes | None:
     return None
 
 
-def _differs(digest: str, body: bytes) -> bool:
-    """Whether a digest (sha256 if it has no label) fits neither the block nor its HTTP payload."""
+def _differs(digest: str, body: bytes, whole: bool = False) -> bool:
+    """Whether a digest (sha256 if it has no label) fits neither the block nor, unless ``whole``, its HTTP payload."""
     label, sep, value = digest.rpartition(":")
     name = label.strip().lower().replace("-", "") if sep else "sha256"
     value = value.strip()
@@ -111,7 +126,7 @@ def _differs(digest: str, body: bytes) -> bool:
     if len(want) != size:
         return False
     forms = [body]
-    if body.startswith(b"HTTP/"):
+    if body.startswith(b"HTTP/") and not whole:
         head, end, payload = body.partition(b"\r\n\r\n")
         if end:
             forms.append(payload)
@@ -125,7 +140,7 @@ def _parse(raw: bytes, at: int) -> tuple[int, dict]:
     m = HEADS.match(raw, at)
     if not m:
         raise ValueError("no version line")
-    stop = raw.find(b"\r\n\r\n", m.end() - 2)
+    stop = raw.find(b"\r\n\r\n", m.end() - 2, m.end() + MOST_HEAD)
     if stop < 0:
         raise ValueError("headers do not end")
     fields = {}
@@ -144,17 +159,22 @@ def _parse(raw: bytes, at: int) -> tuple[int, dict]:
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     if fields.get("warc-type") == "response" and _differs(digest, body):
         raise ValueError("digest differs")
+    if _differs(fields.get("warc-block-digest", "none:"), body, whole=True):
+        raise ValueError("block digest differs")
     return end + 4, fields | {"body": body, "digest": digest}
 
 
 def _member(raw: bytes, at: int) -> tuple[int, bytes]:
     """The gzip member at ``at``: its end and what it holds."""
-    d, out, view = zlib.decompressobj(31), [], memoryview(raw)
+    d, out, held, view = zlib.decompressobj(31), [], 0, memoryview(raw)
     try:
         while not d.eof and at < len(raw):
             part = view[at : at + 65536]
             out.append(d.decompress(part))
             at += len(part)
+            held += len(out[-1])
+            if held > MOST_MEMBER:
+                raise ValueError("member is too long")
     except zlib.error as e:
         raise ValueError(f"bad member: {e}") from None
     if not d.eof:
@@ -174,6 +194,15 @@ def salvage(raw: bytes):
     """
     at = bad = 0
     reason = ""
+    ahead = {mark: -1 for mark in MARKS}  # where each mark stands next
+
+    def next_mark(after: int) -> int:
+        for mark, i in ahead.items():
+            if i < after:
+                i = raw.find(mark, after)
+                ahead[mark] = len(raw) if i < 0 else i
+        return min(ahead.values())
+
     while at < len(raw):
         try:
             if raw[at : at + 2] == b"\x1f\x8b":
@@ -186,8 +215,7 @@ def salvage(raw: bytes):
                 inside = [(fields, "")]
         except ValueError as e:
             reason = reason or str(e)
-            marks = [i for i in (raw.find(b"WARC/1.", at + 1), raw.find(b"\x1f\x8b\x08", at + 1)) if i > 0]
-            at = min(marks, default=len(raw))
+            at = next_mark(at + 1)
             continue
         if bad < at:
             yield bad, at, None, reason
@@ -227,3 +255,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
     return files.select("path", "content").mapInArrow(rows, RECORDS)
+
+
+def gaps(records: DataFrame) -> DataFrame:
+    """The log of what was quarantined: file, byte range and the first failed check."""
+    return records.where("kind = 'gap'").select("file", "start", "end", "reason")
+
+
+def whole(records: DataFrame) -> DataFrame:
+    """The records; a quarantined gap among them is an error that names its place."""
+    said = F.concat_ws(" ", F.lit("quarantined:"), "file", "start", "end", "reason")
+    return records.where(F.when(F.col("kind") == "gap", F.raise_error(said)).otherwise(F.lit(True)))

@@ -446,3 +446,32 @@ def test_salvage_takes_usual_archives(packed):
 def test_empty_frames_keep_their_schema(spark):
     assert pd.DataFrame(quality.judge(spark.createDataFrame([], SCHEMA)).toPandas()).empty
     assert F is not None
+
+
+def test_salvage_of_damage_is_linear_and_logged(spark, tmp_path):
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9999999\r\n\r\n" + b"z" * 200
+    good = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    raw = bad * 20_000 + b"WARC/1.1\r\nno end of headers " + good
+    out = list(warc.salvage(raw))  # minutes if each failure searched the rest again
+    assert [(s, e, f is None) for s, e, f, _ in out] == [(0, len(raw) - len(good), True), (len(raw) - len(good), len(raw), False)]
+    block = b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Block-Digest: sha1:%s\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    right, wrong = (base64.b32encode(hashlib.sha1(x).digest()) for x in (b"ok", b"no"))
+    assert [reason for *_, reason in warc.salvage(block % right + block % wrong)] == ["", "block digest differs"]
+    (tmp_path / "a.warc").write_bytes(bad + good)
+    records = warc.read_archives(spark, f"file://{tmp_path}")
+    assert [tuple(r)[1:] for r in warc.gaps(records).collect()] == [(0, len(bad), "no end of record")]
+    with pytest.raises(Exception, match="quarantined"):
+        warc.whole(records).collect()
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_warc_takes_null_and_repeated_page_ids(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", most)
+    long = "<p>" + "b" * 300
+    pages = [(5, "u", long), (5, "u", long), (9, None, long), (None, "u", long), (None, None, None), (9, "u", "other " * 40)]
+    df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, first string, salt string")
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    out = warc.whole(warc.read_archives(spark, f"file://{tmp_path}/w")).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in out) == Counter([(5, "response", None), (5, "response", None), (9, "revisit", 5), (None, "response", None), (None, "response", None), (9, "response", None)])
+    warc.write_archives(df.where("false"), f"file://{tmp_path}/none")
+    assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
