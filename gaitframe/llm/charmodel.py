@@ -1,206 +1,288 @@
-"""Character n-gram language models with Kneser-Ney smoothing.
-
-Characters fall into 40 classes (white space, digits, punctuation, the letters a-z in
-either case, ten classes of other letters), so an n-gram of four is a number below
-40**4 = 2,560,000. That is the proven bound of a language's model, whatever the size of
-the corpus. Spark counts the n-grams of all documents; the probabilities follow on the
-driver from at most so many counts a language, and are kept as sorted arrays of n-gram
-codes beside their values. Scoring finds codes by binary search and backs off.
+"""Kneser-Ney models of character n-grams, counted and smoothed by Spark.
+
+Characters are the text's own code points (white space is one character, digits are one,
+NUL is U+0001; letters in lower case if asked). A text starts after ORDER - 1 spaces.
+
+1. ``count_ngrams``: how often each n-gram of ORDER characters stands in the texts of a key.
+2. ``levels``: shorter n-grams count the different characters that stand before them.
+3. ``resolve``: discounts from counts of counts, back-off weights by context, and the
+   interpolated probability of every n-gram that the texts to be scored hold, all by
+   aggregates and joins on the n-gram. Nothing is capped: the tables follow the corpus.
+4. ``Slices``: probabilities as sorted arrays of 64-bit hashes beside their values, in
+   slices of at most SLICE bytes. One slice at a time reaches the driver and is broadcast;
+   a model of several slices takes a pass over the texts for each, and sums.
+
+Two n-grams with one hash would share a value (one chance in 2**64 a pair).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaitframe.llm.shared import byte_slices, sums_by_row
-
-A = 40
-ORDER = 4
-CODES = A**ORDER
-_CLASS = np.full(256, 29, np.uint8)  # 29: other signs
-_CLASS[[9, 10, 11, 12, 13, 32]] = 0
-_CLASS[48:58] = 1
-_CLASS[list(b".!?")] = 2
-for _c in range(26):
-    _CLASS[65 + _c] = _CLASS[97 + _c] = 3 + _c
-
-
-def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes of a run of rows, and the rows' offsets among them."""
-    lead = (data & 0xC0) != 0x80
-    out = _CLASS[data]
-    wide = np.flatnonzero(data >= 0xC0)
-    if len(wide):
-        b0, b1 = data[wide].astype(np.uint32), data[np.minimum(wide + 1, len(data) - 1)].astype(np.uint32)
-        b2 = data[np.minimum(wide + 2, len(data) - 1)].astype(np.uint32)
-        cp = np.where(b0 < 0xE0, (b0 & 31) << 6 | b1 & 63, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63)
-        cp = np.where((cp >= 0xC0) & (cp <= 0xDE), cp | 32, cp)
-        out[wide] = np.where((cp < 0xC0) | (cp >= 0x2000) & (cp < 0x2C00), 29, 30 + (cp * 2654435761 >> 7) % 10)
+from gaitframe.llm.shared import byte_slices, few, mix, settle, sums_by_row
+
+ORDER = 5
+#: Bytes of n-grams and values that are broadcast at once.
+SLICE = 48 << 20
+#: Distinct n-grams that a counting task holds before it gives them away.
+HELD = 400_000
+_CHUNK = 1 << 19
+_MUL = np.random.default_rng(23).integers(1, 2**63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@cache
+def _folding(lower: bool) -> np.ndarray:
+    """Code points below 65,536 as the models see them."""
+    t = np.arange(1 << 16, dtype=np.uint32)
+    t[0] = 1
+    t[[9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029, 0x3000]] = 32
+    for i in range(1 << 16):
+        if 0xD800 <= i < 0xE000:
+            continue
+        c = chr(i)
+        if c.isdecimal():
+            t[i] = 48
+        elif lower and len(low := c.lower()) == 1:
+            t[i] = ord(low)
+    return t
+
+
+def symbols(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a run of rows, and the rows' offsets among them."""
+    raw = data.tobytes()
+    try:
+        text = raw.decode("utf-8")
+        length = sums_by_row((data & 0xC0) != 0x80, off)
+    except UnicodeDecodeError:
+        rows = [raw[a:z].decode("utf-8", "replace") for a, z in zip(off, off[1:], strict=False)]
+        text, length = "".join(rows), np.array([len(x) for x in rows], np.int64)
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    table = _folding(lower)
+    out = table[np.minimum(cp, 0xFFFF)]
+    far = cp > 0xFFFF
+    if far.any():
+        out[far] = cp[far]
     chars = np.zeros(len(off), np.int64)
-    np.cumsum(sums_by_row(lead, off), out=chars[1:])
-    return out[lead], chars
+    np.cumsum(length, out=chars[1:])
+    return out, chars
 
 
-def codes_of(sym: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The code of the n-gram that ends at each character; before a text stands white space."""
-    code = sym.astype(np.int32)
-    at = np.arange(len(sym)) - np.repeat(off[:-1], np.diff(off))
-    for k in range(1, ORDER):
-        earlier = np.zeros(len(sym), np.int32)
-        earlier[k:] = sym[:-k]
-        earlier[at < k] = 0
-        code += earlier * np.int32(A**k)
-    return code
+def _column(sym: np.ndarray, start: np.ndarray, k: int, a: int, z: int) -> np.ndarray:
+    """The character ``k`` places before each of the places a..z; before a text stands a space."""
+    at = np.arange(a, z)
+    out = sym[np.maximum(at - k, 0)]
+    out[at - k < start] = 32
+    return out
 
 
-def count_ngrams(docs: DataFrame, key: str) -> DataFrame:
-    """(key, code, n): how often each n-gram of four stands in all texts of a key."""
+def grams(sym: np.ndarray, chars: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of places: from, to, the row of each place, the hash of the n-gram that ends there."""
+    for a in range(0, len(sym), _CHUNK):
+        z = min(len(sym), a + _CHUNK)
+        row = np.searchsorted(chars, np.arange(a, z), "right") - 1
+        start = chars[row]
+        code = np.zeros(z - a, np.uint64)
+        for k in range(ORDER):
+            code += _column(sym, start, k, a, z).astype(np.uint64) * _MUL[k]
+        yield a, z, row, mix(code)
+
+
+def hashes_of(strings: pa.Array) -> np.ndarray:
+    """The same hashes for n-grams given as strings of ORDER characters."""
+    cp = np.frombuffer("".join(strings.to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+    code = np.zeros(len(cp), np.uint64)
+    for k in range(ORDER):
+        code += cp[:, ORDER - 1 - k].astype(np.uint64) * _MUL[k]
+    return mix(code)
+
+
+def salt_of(key: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little"))
+
+
+class _Counter:
+    """Counts of one task: hashes in rising order, their counts, keys and characters."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.code, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.key, self.cp = np.zeros(0, np.int32), np.zeros((0, ORDER), "<u4")
+
+    def add(self, sym: np.ndarray, chars: np.ndarray, keys: np.ndarray, salts: np.ndarray) -> None:
+        for a, _, row, code in grams(sym, chars):
+            code = mix(code + salts[row])
+            u, n = np.unique(code, return_counts=True)
+            at = np.minimum(np.searchsorted(self.code, u), max(len(self.code) - 1, 0))
+            hit = self.code[at] == u if len(self.code) else np.zeros(len(u), bool)
+            self.n[at[hit]] += n[hit]
+            if hit.all():
+                continue
+            u, n = u[~hit], n[~hit]
+            at = np.minimum(np.searchsorted(u, code), len(u) - 1)
+            place = np.zeros(len(u), np.int64)
+            new = np.flatnonzero(u[at] == code)
+            place[at[new]] = new
+            start = chars[row[place]]
+            cp = np.empty((len(u), ORDER), "<u4")
+            for k in range(ORDER):
+                far = a + place - k
+                cp[:, ORDER - 1 - k] = np.where(far < start, 32, sym[np.maximum(far, 0)])
+            order = np.argsort(np.concatenate([self.code, u]), kind="stable")
+            self.code = np.concatenate([self.code, u])[order]
+            self.n = np.concatenate([self.n, n])[order]
+            self.key = np.concatenate([self.key, keys[row[place]]])[order]
+            self.cp = np.concatenate([self.cp, cp])[order]
+
+
+def count_ngrams(docs: DataFrame, lower: bool = False) -> DataFrame:
+    """(key, gram, n) of docs (key, text), as a written table; texts of a null key count under a null key."""
 
     def count(batches):
-        held: dict[str, np.ndarray] = {}
-        waiting: dict[str, list[np.ndarray]] = {}
-
-        def add(k: str) -> None:
-            part = waiting.pop(k, [])
-            if part:
-                if k not in held:
-                    held[k] = np.zeros(CODES, np.int64)
-                held[k] += np.bincount(np.concatenate(part), minlength=CODES)
+        held, names = _Counter(), {}
 
         def give():
-            for k in list(waiting):
-                add(k)
-            for k in list(held):
-                c = held.pop(k)
-                i = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(c[i])], ["key", "code", "n"])
+            label = np.array(list(names), object)
+            for at in range(0, len(held.n), 20_000):
+                part = slice(at, at + 20_000)
+                text = np.ascontiguousarray(held.cp[part]).view(f"<U{ORDER}").ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(label[held.key[part]], pa.string()), pa.array(text, pa.string()), pa.array(held.n[part])], ["key", "gram", "n"])
+            held.clear()
+            names.clear()
 
         for b in batches:
             keys = b.column(0).to_pylist()
-            for lo, hi, data, off in byte_slices(b.column(1), 1 << 18):
-                sym, chars = symbols(data, off)
-                code = codes_of(sym, chars)
-                for i in range(hi - lo):
-                    if chars[i + 1] > chars[i]:
-                        waiting.setdefault(keys[lo + i], []).append(code[chars[i] : chars[i + 1]])
-                for k in [k for k, v in waiting.items() if sum(map(len, v[:1])) and (len(v) > 500 or sum(map(len, v)) > 1_500_000)]:
-                    add(k)
-                if len(held) + len(waiting) > 12:
+            for lo, hi, data, off in byte_slices(b.column(1)):
+                mine = np.array([names.setdefault(k, len(names)) for k in keys[lo:hi]], np.int32)
+                salts = np.array([salt_of("\x01" if k is None else "\x02" + k) for k in keys[lo:hi]], np.uint64)
+                held.add(*symbols(data, off, lower), mine, salts)
+                if len(held.n) > HELD:
                     yield from give()
         yield from give()
 
-    rows = docs.select(F.col(key).cast("string").alias("key"), F.col("text").cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(count, "key string, code int, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Level:
-    """N-grams of one length in rising order, their log probabilities, and what a context leaves."""
-
-    codes: np.ndarray
-    logp: np.ndarray
-    contexts: np.ndarray
-    backoff: np.ndarray
-
-
-def _find(keys: np.ndarray, values: np.ndarray, x: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.full(len(x), missing, np.float64), np.zeros(len(x), bool)
-    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    hit = keys[i] == x
-    return np.where(hit, values[i], missing), hit
-
-
-@dataclass
-class Model:
-    levels: list[Level]  # of one character, two, three and four
-
-    def logp(self, codes: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probability of each n-gram's last character."""
-        out = np.zeros(len(codes), np.float64)
-        left = np.arange(len(codes))
-        for k in range(ORDER, 0, -1):
-            level = self.levels[k - 1]
-            x = codes[left] % A**k
-            value, hit = _find(level.codes, level.logp, x, 0.0)
-            out[left[hit]] += value[hit]
-            left, x = left[~hit], x[~hit]
-            if not len(left):
-                return out
-            out[left] += _find(level.contexts, level.backoff, x // A, 0.0)[0]
-        out[left] += -np.log(A)
-        return out
+    rows = docs.select(F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    counted = rows.mapInArrow(count, "key string, gram string, n long")
+    return settle(counted.groupBy("key", "gram").agg(F.sum("n").alias("n")), "ngrams")
 
 
-def _discounts(counts: np.ndarray, modified: bool) -> np.ndarray:
-    """What is taken from n-grams that are seen once, twice, and more often."""
-    n1, n2, n3, n4 = (float((counts == i).sum()) for i in range(1, 5))
-    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    if not modified:
-        return np.full(3, min(max(y, 0.1), 0.9))
-    d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([min(max(d[0], 0.1), 0.95), min(max(d[1], 0.1), 1.9), min(max(d[2], 0.1), 2.9)])
+def levels(counts: DataFrame) -> DataFrame:
+    """(key, k, gram, n) of every length k: counts of n-grams of ORDER, and for shorter ones the number of characters before them."""
+    full = counts.where("key IS NOT NULL")
+    ends = [F.struct(F.lit(k).alias("k"), F.substring("gram", ORDER - k + 1, k).alias("gram"), F.substring("gram", ORDER - k, 1).alias("before")) for k in range(1, ORDER)]
+    less = full.select("key", F.explode(F.array(*ends)).alias("e")).select("key", "e.*").distinct()
+    less = less.groupBy("key", "k", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return settle(full.select("key", F.lit(ORDER).alias("k"), "gram", "n").unionByName(less), "levels")
 
 
-def kneser_ney(codes: np.ndarray, counts: np.ndarray, modified: bool = True) -> Model:
-    """Interpolated Kneser-Ney from the counts of n-grams of four.
+def _discounts(lev: DataFrame, modified: bool) -> DataFrame:
+    """(key, d): by length, what is taken from n-grams seen once, twice, and more often. One row a key."""
+    c = [F.count_if(F.col("n") == i).cast("double") for i in range(1, 5)]
+    d = lev.where("n <= 4").groupBy("key", "k").agg(*[x.alias(f"n{i}") for i, x in enumerate(c, 1)])
+    y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
 
-    ``modified``: three discounts a length (Chen and Goodman); else one (Kneser and Ney).
-    Shorter n-grams count the different characters that stand before them.
-    """
-    dense = np.zeros(CODES, np.int64)
-    dense[codes] = counts
-    by_length = [dense]
-    for k in range(ORDER - 1, 0, -1):
-        by_length.insert(0, (by_length[0].reshape(A, A**k) > 0).sum(0))
-    lower = np.full(1, 1 / A)
-    levels = []
-    for k, c in enumerate(by_length, 1):
-        d = np.r_[0.0, _discounts(c, modified)]
-        table = c.reshape(-1, A)
-        total = table.sum(1)
-        taken = d[np.minimum(table, 3)]
-        gamma = np.divide(taken.sum(1), total, out=np.ones(len(total)), where=total > 0)
-        below = np.tile(lower.reshape(-1, A), (A, 1)) if k > 1 else np.full((1, A), 1 / A)
-        p = np.divide(table - taken, total[:, None], out=np.zeros(table.shape), where=total[:, None] > 0) + gamma[:, None] * below
-        seen, used = np.flatnonzero(c), np.flatnonzero(total)
-        lower = p.ravel()
-        levels.append(Level(seen.astype(np.int32), np.log(lower[seen]).astype(np.float32), used.astype(np.int32), np.log(np.maximum(gamma[used], 1e-12)).astype(np.float32)))
-    return Model(levels)
-
-
-def models_from(counts: DataFrame, modified: bool) -> dict[str, Model]:
-    """A model for each key; the driver receives at most 40**4 counts a key, one key after another."""
-    keys = sorted(r["key"] for r in counts.select("key").distinct().collect())
-    out = {}
-    for k in keys:
-        t = counts.where(F.col("key") == k).select("code", "n").toArrow()
-        out[k] = kneser_ney(t.column("code").to_numpy(), t.column("n").to_numpy(), modified)
-    return out
+    def held(x: Column, low: float, high: float) -> Column:
+        return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
+    if modified:
+        d1 = held(F.when(F.col("n1") > 0, 1 - 2 * y * F.try_divide("n2", "n1")).otherwise(0.5), 0.1, 0.95)
+        d2 = held(F.when(F.col("n2") > 0, 2 - 3 * y * F.try_divide("n3", "n2")).otherwise(1.0), 0.1, 1.9)
+        d3 = held(F.when(F.col("n3") > 0, 3 - 4 * y * F.try_divide("n4", "n3")).otherwise(1.5), 0.1, 2.9)
+    else:
+        d1 = d2 = d3 = held(y, 0.1, 0.9)
+    d = d.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("k", F.array(d1, d2, d3)))).alias("d"))
+    plain = F.array(*([F.lit(0.5), F.lit(1.0), F.lit(1.5)] if modified else [F.lit(0.5)] * 3))
+    every = lev.select("key").distinct().join(d, "key", "left")
+    return every.select("key", *[F.coalesce(F.col("d")[F.lit(k)], plain).alias(f"d{k}") for k in range(1, ORDER + 1)])
 
-class Memo:
-    """Values of n-grams that a worker has looked up, one column a model."""
-
-    def __init__(self, models: list[Model]):
-        self.models = models
-        self.known = np.zeros(CODES, bool)
-        self.values = np.zeros((CODES, len(models)), np.float32)
-
-    def sums(self, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Log probabilities of the rows of a run, one column a model."""
-        fresh = codes[~self.known[codes]]
-        if len(fresh):
-            fresh = np.unique(fresh)
-            for j, m in enumerate(self.models):
-                self.values[fresh, j] = m.logp(fresh)
-            self.known[fresh] = True
-        got = self.values[codes]
-        c = np.zeros((len(codes) + 1, len(self.models)), np.float64)
-        np.cumsum(got, axis=0, out=c[1:])
-        return c[off[1:]] - c[off[:-1]]
+
+def resolve(asked: DataFrame, lev: DataFrame, modified: bool) -> DataFrame:
+    """(key, gram, logp): the interpolated probability of the last character of each asked n-gram (key, gram).
+
+    asked: distinct rows, as a written table. A key without a model gives every character
+    the same probability.
+    """
+    d = few(_discounts(lev, modified))
+    alphabet = max(lev.where("k = 1").select("gram").distinct().count(), 1) + 1
+    below = None
+    for k in range(1, ORDER + 1):
+        taken = F.col(f"d{k}")[F.least("n", F.lit(3)).cast("int") - 1]
+        mine = lev.where(F.col("k") == k).join(d, "key").select("key", "gram", F.substring("gram", 1, k - 1).alias("context"), F.col("n").cast("double").alias("n"), taken.alias("taken"))
+        context = mine.groupBy("key", "context").agg(F.sum("n").alias("total"), F.sum("taken").alias("left"))
+        want = asked if k == ORDER else asked.select("key", F.substring("gram", ORDER - k + 1, k).alias("gram")).distinct()
+        want = want.select("key", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        out = want.join(mine.select("key", "gram", (F.col("n") - F.col("taken")).alias("rest")), ["key", "gram"], "left").join(context, ["key", "context"], "left")
+        if below is None:
+            out = out.withColumn("p0", F.lit(1.0 / alphabet))
+        else:
+            out = out.join(below.select("key", F.col("gram").alias("suffix"), F.col("p").alias("p0")), ["key", "suffix"])
+        p = F.when(F.col("total").isNull(), F.col("p0")).otherwise((F.coalesce("rest", F.lit(0.0)) + F.col("left") * F.col("p0")) / F.col("total"))
+        below = out.select("key", "gram", p.alias("p"))
+    return below.select("key", "gram", F.log("p").cast("float").alias("logp"))
+
+
+class Slices:
+    """Resolved n-grams as sorted hash arrays with ``width`` values each, slice by slice.
+
+    table: (salt, gram, col, logp) with salt (a string, empty for none) and col below width.
+    """
+
+    def __init__(self, table: DataFrame, width: int):
+        def hashed(batches):
+            for b in batches:
+                if b.num_rows:
+                    salts, which = np.unique(np.array(b.column(0).to_pylist(), object), return_inverse=True)
+                    add = np.array([salt_of(s) for s in salts], np.uint64)[which]
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(hashes_of(b.column(1)) + add).view(np.int64)), b.column(2), b.column(3)], ["code", "col", "logp"])
+
+        self.width = width
+        self.table = settle(table.select("salt", "gram", "col", "logp").mapInArrow(hashed, "code long, col int, logp float"), "model")
+        self.count = max(1, -(-self.table.count() * (8 // width + 4) // SLICE))
+
+    def broadcast(self, i: int):
+        """The i-th slice; SLICE bytes or little more, as hashes are even."""
+        t = self.table.where(F.pmod("code", F.lit(self.count)) == i).toArrow()
+        code = t.column("code").to_numpy().view(np.uint64)
+        order = np.lexsort((t.column("col").to_numpy(), code))
+        values = t.column("logp").to_numpy()[order].reshape(-1, self.width)
+        return self.table.sparkSession.sparkContext.broadcast((code[order][:: self.width].copy(), values))
+
+    def over(self, docs: DataFrame, make: Callable, schema: str, sums: str) -> DataFrame:
+        """``docs`` through ``make(slice, first)``, an Arrow function that gives the columns of ``schema``.
+
+        With several slices the texts are written once with a row number ``rid``; the passes
+        but the first give null for all columns but ``rid`` and ``sums`` (an array).
+        """
+        if self.count == 1:
+            return docs.withColumn("rid", F.lit(None).cast("long")).mapInArrow(make(self.broadcast(0), True), "rid long, " + schema).drop("rid")
+        laid = settle(docs.withColumn("rid", F.monotonically_increasing_id()), "laid")
+        parts = [laid.mapInArrow(make(self.broadcast(i), i == 0), "rid long, " + schema) for i in range(self.count)]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        names = [c for c in every.columns if c != "rid"]
+        total = F.array(*[F.sum(F.col(sums)[j]) for j in range(self.width)])
+        return every.groupBy("rid").agg(*[total.alias(c) if c == sums else F.any_value(c, True).alias(c) for c in names]).drop("rid")
+
+
+def score(slice_, sym: np.ndarray, chars: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Log probabilities that a slice gives to the rows of a run, a column a value."""
+    code_of, values = slice_
+    out = np.zeros((len(chars) - 1, values.shape[1]))
+    if not len(code_of):
+        return out
+    for _, _, row, code in grams(sym, chars):
+        code = mix(code + salts[row])
+        at = np.minimum(np.searchsorted(code_of, code), len(code_of) - 1)
+        hit = code_of[at] == code
+        got = np.where(hit[:, None], values[at], 0)
+        for j in range(values.shape[1]):
+            out[:, j] += np.bincount(row, got[:, j], minlength=len(out))
+    return out

@@ -1,13 +1,16 @@
 """Quality rules: stated text rules, then perplexity bands by language.
 
-Spark counts character n-grams of all documents by ``lang`` (null: a key of its own); a
-modified Kneser-Ney model for each scores every document. A language's band is its
-median log perplexity plus and minus a number of robust deviations (from the quartiles
-of all its documents); outside lies junk of too high or boilerplate of too low
-perplexity.
-
-Null text has no words and fails. Repeated rows repeat. Extra columns are ignored. A
-text that is longer than a slice is handled whole. An empty table gives no rows.
+Spark counts character n-grams of all documents by ``lang`` (null: a language of its own)
+and by the half that a hash of the text puts them in; a modified Kneser-Ney model of each
+half scores the documents of the other, so no document is scored by a model that saw its
+text. A language's band is its median log perplexity plus and minus a number of robust
+deviations (from the quartiles of all its documents that pass the stated rules); outside
+lies junk of too high or boilerplate of too low perplexity.
+
+Null text has no words and fails. A language whose documents all lie in one half has no
+model for them: all have the same perplexity and none is rejected for it. Repeated rows
+repeat. Extra columns are ignored by ``judge`` and kept by ``keep_good``, whatever their
+names. A text that is longer than a slice is handled whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitframe.llm import charmodel as cm
-from gaitframe.llm.shared import MOST_BROADCAST, Hashes, byte_slices, mix, row_numbers, settle, sums_by_row, words_of
+from gaitframe.llm.shared import Hashes, byte_slices, few, mix, settle, sums_by_row, words_of
 
 NO_LANG = "\x00none"
-MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+#: Characters of a text at which chance in the text varies as much as texts do.
+SPREAD = 1000
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, sums array<double>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -78,97 +83,69 @@ def measure(data: np.ndarray, off: np.ndarray, window: int = 8) -> tuple[np.ndar
     return n_words, chars, signs, dup_lines, repeated
 
 
-class Scorer:
-    """Measures and log perplexities of Arrow arrays of texts; remembers n-grams of up to twelve languages."""
-
-    def __init__(self, models: dict[str, cm.Model]):
-        self.models = models
-        self.memos: dict[str, cm.Memo] = {}
-
-    def _memo(self, lang: str) -> cm.Memo | None:
-        if lang not in self.memos and lang in self.models:
-            if len(self.memos) >= 12:
-                self.memos.clear()
-            self.memos[lang] = cm.Memo([self.models[lang]])
-        return self.memos.get(lang)
-
-    def parts(self, langs: list[str], texts: pa.Array):
-        for lo, hi, data, off in byte_slices(texts):
-            sym, chars = cm.symbols(data, off)
-            codes, length = cm.codes_of(sym, chars), np.diff(chars)
-            score = np.zeros(hi - lo)
-            of = np.array(langs[lo:hi], object)
-            for lang in set(langs[lo:hi]):
-                m = (of == lang) & (length > 0)
-                if m.any() and (memo := self._memo(lang)) is not None:
-                    sub = np.r_[0, np.cumsum(length[m])]
-                    score[m] = -memo.sums(codes[np.repeat(m, length)], sub)[:, 0] / length[m]
-            yield (lo, hi, *measure(data, off), score)
-
-
-def measures(docs: DataFrame, models: dict[str, cm.Model]) -> DataFrame:
-    """The stated measures and the log perplexity a character of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most 40**4 n-grams a language
-
-    def rows(batches):
-        scorer = Scorer(shared.value)
-        for b in batches:
-            parts = [p[2:] for p in scorer.parts(b.column(1).to_pylist(), b.column(2))]
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5 + [np.zeros(0)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols)], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(rows, MEASURES)
-
-
-def _train(docs: DataFrame) -> dict[str, cm.Model]:
-    keyed = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text")
-    return cm.models_from(settle(cm.count_ngrams(keyed, "lang"), "ngrams"), modified=True)
-
-
-def _bands(m: DataFrame, low: float, high: float) -> DataFrame:
-    """lang, low, high: from the quartiles of all documents that pass the stated rules; one row a language."""
-    band = m.where("NOT base_failed").groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"))
+def _half(text):
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("string")
+
+
+def _score_key(lang: str | None, half: str) -> str:
+    return f"{NO_LANG if lang is None else lang}\x00{half}"
+
+
+def _measured(docs: DataFrame, lower: bool = False) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ... and the stated measures with the log perplexity a character; written."""
+    names, schema = docs.columns, docs.schema
+    text, lang = F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG))
+    other = F.when(_half(text) == "0", "1").otherwise("0")
+    counts = cm.count_ngrams(docs.select(F.concat(lang, F.lit("\x00"), _half(text)).alias("key"), text.alias("text")), lower)
+    # the n-grams of one half are looked up in the model of the other
+    flip = F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.when(F.col("key").endswith("0"), "1").otherwise("0"))
+    asked = settle(counts.select(flip.alias("key"), "gram"), "asked")
+    table = cm.resolve(asked, cm.levels(counts), modified=True)
+    slices = cm.Slices(table.select(F.col("key").alias("salt"), "gram", F.lit(0).alias("col"), "logp"), 1)
+    kept = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema))
+
+    def make(shared, first):
+        def rows(batches):
+            for b in batches:
+                keys, texts = b.column(b.num_columns - 3).to_pylist(), b.column(b.num_columns - 2)
+                salt = {k: cm.salt_of(k) for k in set(keys)}
+                for lo, hi, data, off in byte_slices(texts):
+                    sym, chars = cm.symbols(data, off, lower)
+                    sums = cm.score(shared.value, sym, chars, np.array([salt[k] for k in keys[lo:hi]], np.uint64))
+                    some = [*map(pa.array, measure(data, off)), pa.array(np.diff(chars))] if first else [pa.nulls(hi - lo, pa.int64())] * 6
+                    mine = [c.slice(lo, hi - lo) if first else pa.nulls(hi - lo, c.type) for c in b.columns[: b.num_columns - 3]]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1), pa.int32()), pa.array(sums.ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column(b.num_columns - 1).slice(lo, hi - lo), *mine, *some, lists], ["rid", *(f"c{i}" for i in range(len(mine))), *(x.split()[0] for x in MEASURES.split(", "))])
+
+        return rows
+
+    laid = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.concat(lang, F.lit("\x00"), other).alias("score_key"), text.alias("score_text"))
+    out = slices.over(laid, make, ", ".join(x for x in (kept, MEASURES) if x), "sums")
+    ppl = -F.try_divide(F.col("sums")[0], F.col("n_chars"))
+    return settle(out.withColumn("log_ppl", F.coalesce(ppl, F.lit(0.0))).drop("sums"), "quality")
+
+
+def _judged(docs: DataFrame, low: float, high: float, min_words: int, max_repeat: int) -> DataFrame:
+    """What ``_measured`` gives, with base_failed and kept."""
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    lang = F.coalesce(F.col(f"c{docs.columns.index('lang')}").cast("string"), F.lit(NO_LANG))
+    m = _measured(docs).withColumns({"base_failed": failed, "band_key": lang})
+    band = m.where("NOT base_failed").groupBy("band_key").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"))
     width = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.01))
-    return band.select("lang", (F.col("q")[1] - low * width).alias("low"), (F.col("q")[1] + high * width).alias("high"))
-
-
-def _base_failed(min_words: int, max_repeat: int):
-    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    band = few(band.select("band_key", F.col("q")[1].alias("middle"), width.alias("width")))
+    most = F.col("width") * F.sqrt(1 + F.try_divide(F.lit(SPREAD), F.col("n_chars")))
+    inside = F.col("log_ppl").between(F.col("middle") - low * most, F.col("middle") + high * most)
+    return m.join(band, "band_key", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def judge(docs: DataFrame, low: float = 5.0, high: float = 5.0, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
-    """Measures, base_failed and kept of every document."""
-    models = _train(docs)
-    m = settle(measures(docs, models), "quality").withColumn("base_failed", _base_failed(min_words, max_repeat))
-    bands = _bands(m, low, high)
-    # a row a language of a text at most, and the driver has held a model of each
-    bands = F.broadcast(bands) if len(models) <= MOST_BROADCAST else bands
-    out = m.join(bands, "lang", "left")
-    inside = F.col("log_ppl").between(F.col("low"), F.col("high"))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    """doc_id, lang, measures, log_ppl, base_failed and kept of every document."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    out = _judged(slim, low, high, min_words, max_repeat)
+    return out.select(F.col("c0").alias("doc_id"), F.col("c1").alias("lang"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, low: float = 5.0, high: float = 5.0, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
-    """The documents that pass, with their columns as they are.
-
-    Texts are read three times (counts, bands, verdicts) and never shuffled.
-    """
-    models = _train(docs)
-    m = settle(measures(docs, models).drop("doc_id"), "quality")
-    band = _bands(m.withColumn("base_failed", _base_failed(min_words, max_repeat)), low, high).collect()  # one row a language
-    limits = {r["lang"]: (r["low"], r["high"]) for r in band}
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = docs.columns
-
-    def rows(batches):
-        scorer = Scorer(shared.value)
-        for b in batches:
-            langs = [NO_LANG if x is None else str(x) for x in b.column(names.index("lang")).to_pylist()]
-            keep = np.zeros(b.num_rows, bool)
-            for lo, hi, n_words, _, _, _, repeat, ppl in scorer.parts(langs, b.column(names.index("text"))):
-                band = np.array([limits.get(x, (np.inf, -np.inf)) for x in langs[lo:hi]]).reshape(-1, 2)
-                keep[lo:hi] = (n_words >= min_words) & (100 * repeat <= max_repeat * n_words) & (band[:, 0] <= ppl) & (ppl <= band[:, 1])
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(rows, docs.schema)
+    """The documents that pass, with their columns as they are; texts are written once and never shuffled."""
+    out = _judged(docs, low, high, min_words, max_repeat).where("kept")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

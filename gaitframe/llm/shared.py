@@ -28,7 +28,9 @@ _LOWER[65:91] += 32
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("gaitframe.shared.dir", None)
-    if not where:  # only in tests and on one machine
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="gaitframe-")
         spark.conf.set("gaitframe.shared.dir", where)
     return where.rstrip("/")
@@ -42,6 +44,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` as a written table, to be broadcast if its count shows that it is small."""
+    df = settle(df, "few")
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,14 +72,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n + 1 powers of the hash's base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) <= n:
-        m = max(n, 1 << 19)
+    """The first n + 1 powers of the hash's base and of its inverse, modulo 2**64; those of usual runs are kept."""
+    m = 1 << 19
+    kept = _powers if n <= m else {}
+    if not kept:
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            a = np.full(m + 1, base, np.uint64)
+            a = np.full(max(n, m) + 1, base, np.uint64)
             a[0] = 1
-            _powers[key] = np.multiply.accumulate(a)
-    return _powers["up"][: n + 1], _powers["down"][: n + 1]
+            kept[key] = np.multiply.accumulate(a)
+    return kept["up"][: n + 1], kept["down"][: n + 1]
 
 
 class Hashes:
