@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gaitframe.llm.shared import byte_slices, few, mix, settle, sums_by_row
 
-ORDER = 5
+ORDER = 4
 #: Bytes of n-grams and values that are broadcast at once.
 SLICE = 48 << 20
 #: Distinct n-grams that a counting task holds before it gives them away.
@@ -74,24 +74,52 @@ def symbols(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.
     return out, chars
 
 
-def _column(sym: np.ndarray, start: np.ndarray, k: int, a: int, z: int) -> np.ndarray:
-    """The character ``k`` places before each of the places a..z; before a text stands a space."""
-    at = np.arange(a, z)
-    out = sym[np.maximum(at - k, 0)]
-    out[at - k < start] = 32
-    return out
-
+def grams(sym: np.ndarray, chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of places: the row of each place, the hash of the n-gram that ends there, and where it ends in the last array.
 
-def grams(sym: np.ndarray, chars: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of places: from, to, the row of each place, the hash of the n-gram that ends there."""
+    The last array holds the texts' characters with ORDER - 1 spaces before each text.
+    """
+    every = np.repeat(np.arange(len(chars) - 1), np.diff(chars))
+    end = np.arange(len(sym)) + (ORDER - 1) * (every + 1)
+    laid = np.full(len(sym) + (ORDER - 1) * (len(chars) - 1), 32, np.uint32)
+    laid[end] = sym
     for a in range(0, len(sym), _CHUNK):
         z = min(len(sym), a + _CHUNK)
-        row = np.searchsorted(chars, np.arange(a, z), "right") - 1
-        start = chars[row]
-        code = np.zeros(z - a, np.uint64)
-        for k in range(ORDER):
-            code += _column(sym, start, k, a, z).astype(np.uint64) * _MUL[k]
-        yield a, z, row, mix(code)
+        lo, hi = end[a], end[z - 1] + 1
+        code = laid[lo:hi] * _MUL[0]
+        for k in range(1, ORDER):
+            code += laid[lo - k : hi - k] * _MUL[k]
+        yield every[a:z], mix(code[end[a:z] - lo]), end[a:z], laid
+
+
+class Index:
+    """A sorted array of hashes, with the place where each leading bit pattern starts."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, int(len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(keys)).astype(np.int32)
+
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is there (the place is 0 if not)."""
+        if not len(self.keys):
+            return np.zeros(len(code), np.int32), np.zeros(len(code), bool)
+        head = (code >> self.shift).astype(np.int64)
+        at = self.start[head]
+        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == code
+        left = np.flatnonzero(~hit)
+        place, stop = at[left], self.start[head[left] + 1]
+        while len(left):
+            place = place + 1
+            go = place < stop
+            left, place, stop = left[go], place[go], stop[go]
+            same = self.keys[place] == code[left]
+            at[left[same]] = place[same]
+            hit[left[same]] = True
+            left, place, stop = left[~same], place[~same], stop[~same]
+        at[~hit] = 0
+        return at, hit
 
 
 def hashes_of(strings: pa.Array) -> np.ndarray:
@@ -114,30 +142,24 @@ class _Counter:
         self.clear()
 
     def clear(self) -> None:
-        self.code, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.index, self.n = Index(np.zeros(0, np.uint64)), np.zeros(0, np.int64)
         self.key, self.cp = np.zeros(0, np.int32), np.zeros((0, ORDER), "<u4")
 
     def add(self, sym: np.ndarray, chars: np.ndarray, keys: np.ndarray, salts: np.ndarray) -> None:
-        for a, _, row, code in grams(sym, chars):
+        for row, code, end, laid in grams(sym, chars):
             code = mix(code + salts[row])
-            u, n = np.unique(code, return_counts=True)
-            at = np.minimum(np.searchsorted(self.code, u), max(len(self.code) - 1, 0))
-            hit = self.code[at] == u if len(self.code) else np.zeros(len(u), bool)
-            self.n[at[hit]] += n[hit]
-            if hit.all():
+            at, hit = self.index.find(code)
+            if len(self.n):
+                self.n += np.bincount(at[hit], minlength=len(self.n))
+            new = np.flatnonzero(~hit)
+            if not len(new):
                 continue
-            u, n = u[~hit], n[~hit]
-            at = np.minimum(np.searchsorted(u, code), len(u) - 1)
-            place = np.zeros(len(u), np.int64)
-            new = np.flatnonzero(u[at] == code)
-            place[at[new]] = new
-            start = chars[row[place]]
-            cp = np.empty((len(u), ORDER), "<u4")
-            for k in range(ORDER):
-                far = a + place - k
-                cp[:, ORDER - 1 - k] = np.where(far < start, 32, sym[np.maximum(far, 0)])
-            order = np.argsort(np.concatenate([self.code, u]), kind="stable")
-            self.code = np.concatenate([self.code, u])[order]
+            u, first, n = np.unique(code[new], return_index=True, return_counts=True)
+            place = new[first]
+            cp = np.stack([laid[end[place] - k] for k in range(ORDER - 1, -1, -1)], 1).astype("<u4")
+            every = np.concatenate([self.index.keys, u])
+            order = np.argsort(every, kind="stable")
+            self.index = Index(every[order])
             self.n = np.concatenate([self.n, n])[order]
             self.key = np.concatenate([self.key, keys[row[place]]])[order]
             self.cp = np.concatenate([self.cp, cp])[order]
@@ -252,7 +274,7 @@ class Slices:
         code = t.column("code").to_numpy().view(np.uint64)
         order = np.lexsort((t.column("col").to_numpy(), code))
         values = t.column("logp").to_numpy()[order].reshape(-1, self.width)
-        return self.table.sparkSession.sparkContext.broadcast((code[order][:: self.width].copy(), values))
+        return self.table.sparkSession.sparkContext.broadcast((Index(code[order][:: self.width].copy()), values))
 
     def over(self, docs: DataFrame, make: Callable, schema: str, sums: str) -> DataFrame:
         """``docs`` through ``make(slice, first)``, an Arrow function that gives the columns of ``schema``.
@@ -272,17 +294,14 @@ class Slices:
         return every.groupBy("rid").agg(*[total.alias(c) if c == sums else F.any_value(c, True).alias(c) for c in names]).drop("rid")
 
 
-def score(slice_, sym: np.ndarray, chars: np.ndarray, salts: np.ndarray) -> np.ndarray:
+def score(slice_: tuple[Index, np.ndarray], sym: np.ndarray, chars: np.ndarray, salts: np.ndarray) -> np.ndarray:
     """Log probabilities that a slice gives to the rows of a run, a column a value."""
-    code_of, values = slice_
+    index, values = slice_
     out = np.zeros((len(chars) - 1, values.shape[1]))
-    if not len(code_of):
-        return out
-    for _, _, row, code in grams(sym, chars):
-        code = mix(code + salts[row])
-        at = np.minimum(np.searchsorted(code_of, code), len(code_of) - 1)
-        hit = code_of[at] == code
-        got = np.where(hit[:, None], values[at], 0)
+    for row, code, _, _ in grams(sym, chars):
+        at, hit = index.find(mix(code + salts[row]))
+        if not hit.all():
+            at, row = at[hit], row[hit]
         for j in range(values.shape[1]):
-            out[:, j] += np.bincount(row, got[:, j], minlength=len(out))
+            out[:, j] += np.bincount(row, values[at, j], minlength=len(out))
     return out

@@ -7,8 +7,9 @@ seed gives is below the rate's fraction. Targets share the total by weight, stop
 so a target is min(cap, level * weight) at one common level, found by running sums over
 sources in the order of cap / weight.
 
-Null text has size 0. Null source is a source, and comes last. Repeated rows draw the
-same number. Extra columns stay out; an empty table gives no rows.
+Null text has size 0. Null source is a source, and comes last. Rows of one id draw the
+same number; rows without an id draw by their text. Extra columns stay out of ``rates``
+and come back from ``emit`` as they are, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitframe.llm.shared import WORD, settle
+from gaitframe.llm.shared import WORD, fresh, settle
 
 WEIGHTS = (5, 2, 1)
 
@@ -42,30 +43,37 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return s.select("source", "source_size", target.alias("target"))
 
 
-def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target and copies of every document."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    return _copies(settle(sized, "sizes"), weights, most, seed)
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _drawn(seed: str):
+    """A number in [0, 1) from the seed and the id, or the text where there is no id."""
+    of = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), of)), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def _copies(sized: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
+def _copies(rate, drawn):
+    return F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)
+
+
+def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
+    """doc_id, size, source_size, target and copies of every document."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), _drawn(seed).alias("drawn"))
+    sized = settle(sized, "sizes")
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     # no hint: Spark broadcasts the sources if they are few, else it splits the skewed ones
     out = sized.join(by_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
-    return out.withColumn("copies", (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+    return out.withColumn("copies", _copies(rate, F.col("drawn")).cast("long"))
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: every document as often as it is taken, with its columns as they are."""
-    names = docs.columns
-    sized = docs.select(F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    of, rate, copy = fresh(docs, "of_source", "rate", "copy")
+    sized = docs.select(F.col("source").cast("string").alias("source"), _size().alias("size"))
     by_source = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    slim = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_key", F.col("source").cast("string"))
-    t = by_source.select(F.col("source").alias("_source"), F.try_divide("target", "source_size").alias("_rate"))
-    joined = slim.join(t, F.col("_key").eqNullSafe(F.col("_source")))
-    rate = F.coalesce(F.col("_rate"), F.lit(0.0))
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_doc").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
-    copies = (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*names)
+    t = by_source.select(F.col("source").alias(of), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias(rate))
+    joined = docs.join(t, F.col("source").cast("string").eqNullSafe(F.col(of)))
+    times = F.array_repeat(F.lit(1), _copies(F.col(rate), _drawn(seed)).cast("int"))
+    return joined.withColumn(copy, F.explode(times)).drop(of, rate, copy)

@@ -85,7 +85,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
             FROM f""",
         "op8_source_mix": r"""
-            WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+            WITH d AS (SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
             s AS (SELECT source, sum(size)::DOUBLE AS n,
                          [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS w FROM d GROUP BY source),
             levels AS (SELECT a.source, a.n, a.w, 3 * a.n AS cap,
@@ -93,7 +93,7 @@ def oracle_sql() -> dict[str, str]:
                        / (SELECT sum(b.w) FROM s b WHERE (3 * b.n / b.w, coalesce(b.source, chr(1114111))) >= (3 * a.n / a.w, coalesce(a.source, chr(1114111)))) AS level FROM s a),
             t AS (SELECT source, n, least(cap, w * (SELECT arg_min(level, cap / w) FROM levels WHERE cap >= level * w)) AS target FROM levels),
             r AS (SELECT d.doc_id, d.size, t.n, t.target, t.target / nullif(t.n, 0) AS rate,
-                         ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS drawn
+                         ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'text:' || md5(coalesce(d.text, '')))), 1, 13))::BIGINT / 4503599627370496.0 AS drawn
                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
             SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target,
                    (size * (floor(coalesce(rate, 0)) + CASE WHEN drawn < coalesce(rate, 0) - floor(coalesce(rate, 0)) THEN 1 ELSE 0 END))::BIGINT AS taken

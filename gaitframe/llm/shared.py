@@ -54,8 +54,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def doc_id_of(df: DataFrame):
-    return F.col("doc_id").cast("long")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that start as given and that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
