@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gaitframe.llm import minhash, mixing, packing, quality, secrets
 from gaitframe.llm.queries import tokenizer_path
-from gaitframe.llm.shared import settle, shared_dir, table
+from gaitframe.llm.shared import fresh, settle, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays; rows that are equal in id and text count once."""
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    keep = settle(found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "kept")
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
-    return docs.join(keep, match).dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    one, key = fresh(docs, "kept_id", "kept_key")
+    keep = settle(found.where("kept").select(F.col("doc_id").alias(one), F.col("text_key").alias(key)).distinct(), "kept")
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & F.xxhash64("text").eqNullSafe(F.col(key))
+    return docs.join(keep, match).dropDuplicates([one, key]).drop(one, key)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: Minima, models and tokens are beyond SQL; tests compare the stages with brute force.
+#: Minima, models and tokens are beyond SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
