@@ -8,21 +8,28 @@ from pyspark.sql import functions as F
 from gaitframe.llm.shared import settle
 
 #: Parts that a node's neighbours are dealt over.
-SALTS = 4
+SALTS = 8
+
+
+def _salted(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
 
 
 def _stars(e: DataFrame) -> DataFrame:
     """Edges (u, v) with u > v: every larger neighbour, then every smaller one, moves to the smallest.
 
-    A component ends as a star, so its root has all its members as neighbours. They are
-    salted, and the exchange by salt after the aggregate lets Spark split them further.
+    A node may have very many neighbours of either kind: a component ends as a star, and
+    what it starts with is whatever links were found. So both joins by node are salted.
     """
     both = e.union(e.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = both.where("v > u").withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
-    large = salted.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = _salt(both.where("v > u")).join(_salted(least), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = _salt(large).join(_salted(down), ["u", "salt"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.union(down.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -3,9 +3,12 @@
 1. Every text gives its set of shingle hashes, 64 minima, 16 band keys of four minima,
    and a signature of the minima's four low bits packed into 32 bytes.
 2. Equal sets are one class; one of its texts stands for it.
-3. Classes that share a band key are candidates. Every bucket is linked to its smallest
-   member only; the connected components of those links are candidate groups, and no
-   link can lead out of one (but for pairs that share no band: 1 in 100,000 at 0.85).
+3. Classes that share a band key are candidates. In a bucket of up to MEET classes those
+   whose signatures suggest a link are joined; a larger bucket is linked to its smallest
+   member whatever the signatures say. The connected components of those links are
+   candidate groups, and no link can lead out of one (but for pairs that share no band:
+   1 in 100,000 at 0.85). Sharing a band alone joins nothing else, so texts that chain by
+   shared passages do not grow into one group.
 4. A group meets in one task, or, when it is large, in chunks that share four pivots.
    There signatures give a similarity by counting equal fields, less chance agreement;
    pairs far below the threshold go, the others are confirmed on the full sets. A pair
@@ -32,8 +35,8 @@ from gaitframe.llm.shared import Hashes, byte_slices, list_array, lowered, mix,
 
 MINIMA, ROWS, BITS = 64, 4, 4
 BANDS = MINIMA // ROWS
-#: Members of a group that meet in one task.
-CHUNK = 256
+#: Members of a group that meet in one task, and members of a bucket whose signatures do.
+CHUNK, MEET = 256, 2048
 DIGEST = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, packed binary"
 _rng = np.random.default_rng(11)
 _MUL = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,17 +189,71 @@ def classes_of(d: DataFrame) -> DataFrame:
     return d.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(top).select("set_a", "set_b", "n_shingles", "top.doc_id", "top.text_key", "top.bands", "top.packed")
 
 
+def _suggested(rows: DataFrame, percent: int, margin: float) -> DataFrame:
+    """Links (a, b) that join what the signatures of a bucket suggest: rows (key, id, n_shingles, packed)."""
+
+    def chance(sig, size, i, j):
+        near = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        return near & (agreement(sig[i], sig[j]) >= percent / 100 - margin)
+
+    def join(t):
+        key, ids, size = (t.column(i).to_numpy() for i in range(3))
+        sig = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint64).reshape(len(key), -1)
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[cut, len(key)])
+        two = cut[count == 2]
+        ok = two[chance(sig, size, two, two + 1)]
+        a, b = [ids[ok]], [ids[ok + 1]]
+        for at, n in zip(cut[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            label = np.arange(n)
+            for i in range(n - 1):
+                rest = np.flatnonzero(label != label[i])
+                if not len(rest):
+                    break
+                rest = rest[rest > i]
+                rest = rest[chance(sig, size, at + i, at + rest)]
+                if len(rest):
+                    label[np.isin(label, label[rest])] = label[i]
+                    a.append(np.full(len(rest), ids[at + i])), b.append(ids[at + rest])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def links(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
+            if last or (held and held[-1].column(0)[-1].as_py() != keys[0]):
+                whole = [*held, b.slice(0, last)] if last else held
+                yield join(pa.Table.from_batches(whole).combine_chunks().to_batches()[0])
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield join(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    laid = rows.select("key", "id", "n_shingles", "packed").repartition("key").sortWithinPartitions("key", "id")
+    return laid.mapInArrow(links, "a long, b long")
+
+
+def _groups(classes: DataFrame, percent: int, margin: float) -> DataFrame:
+    """(node, group) of the classes that may have a link."""
+    banded = classes.select("id", F.explode("bands").alias("key"))
+    # written first, so that Spark can split a large bucket in the join after it
+    heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members"))
+    heads = settle(heads.where("members > 1"), "heads")
+    live = settle(banded.join(heads, "key"), "live")
+    star = live.where((F.col("members") > MEET) & (F.col("id") != F.col("head"))).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    some = live.where(F.col("members") <= MEET).select("key", "id").join(classes.select("id", "n_shingles", "packed"), "id")
+    return components(star.union(_suggested(some, percent, margin))).withColumnRenamed("root", "group")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin: float = 0.3) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept of every document."""
     d = settle(digests(docs, words), "minhash")
     # a class is a node by a number of its own, fixed by the written table; ids name the components at the end only
     classes = settle(classes_of(d).withColumn("id", F.monotonically_increasing_id()), "classes")
-    # candidate groups
-    banded = classes.select("id", F.explode("bands").alias("key"))
-    # written first, like the sizes below, so that Spark can split a large bucket or group in the join after it
-    heads = settle(banded.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last"), "heads")
-    star = banded.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    groups = settle(components(star).withColumnRenamed("root", "group"), "groups")
+    groups = settle(_groups(classes, percent, margin), "groups")
     no_id = F.lit(2**63 - 1)  # only to find a text: the key of the text is compared as well
     seeds = range(1, 5)
     pick = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("id")))["id"] for s in seeds]

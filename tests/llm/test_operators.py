@@ -452,9 +452,10 @@ def roots_of(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("chunk, k, percent", [(256, 3, 85), (3, 3, 50), (256, 5, 80)])
-def test_minhash(spark, docs, empty, monkeypatch, chunk, k, percent):
+@pytest.mark.parametrize("chunk, meet, k, percent", [(256, 2048, 3, 85), (3, 2, 3, 50), (256, 2048, 5, 80)])
+def test_minhash(spark, docs, empty, monkeypatch, chunk, meet, k, percent):
     monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "MEET", meet)
     r = np.random.default_rng(8)
     base = [f"v{i}" for i in r.integers(0, 5000, 120)]
     near = []
