@@ -1,46 +1,61 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Vectors are scaled to length one and cut into two halves. Each half has a codebook of
-its own (k-means on a bounded sample of at most ``SAMPLE`` distinct vectors); a vector's
+its own (k-means on a bounded sample of some ``SAMPLE`` distinct vectors); a vector's
 two nearest codewords are its cell in the product grid. A query visits cells in the
 order of the sum of its halves' distances to the cell's codewords (multi-sequence
 order); how many follows from vectors at exactly the threshold's angle from the sample's:
 so many that ``recall`` of them would be found. Vectors in visited cells are verified in
-double precision. All vectors are indexed, and all are queries.
+double precision. All vectors are indexed, and all are queries. Vectors of each dimension
+have a grid of their own; up to ``FLAT`` vectors of a dimension share one cell.
 
-Equal vectors are one class that counts its members; n_links counts every member of
-every linked class. A pair counts if either of the two visits the other.
+Equal vectors are one class and one node that counts its members, whatever ids its rows
+have: rows that share a vec_id are separate vectors. n_links counts every member of every
+linked class. A pair counts if either of the two visits the other. A component is named by
+its smallest vec_id.
 
-Vectors that are null, zero, of another dimension than most, or hold null or non-finite
-components link with nothing. Null ids stand alone. Rows that share a vec_id are one node.
-Extra columns are ignored; an empty table gives no rows.
+Vectors that are null, zero, empty, or hold null or non-finite components link with
+nothing, and so do those with a null id. Extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitframe.llm.graph import components
-from gaitframe.llm.shared import settle
+from gaitframe.llm.shared import few, mix, settle
 
-#: Vectors that the codebooks are fitted on, at most.
+#: Vectors that the codebooks are fitted on, about.
 SAMPLE = 20_000
 #: Members of a grid row that one task holds.
 HELD = 4096
-CELLED = "id long, n long, v array<double>, i int, cell int, visits array<int>"
+#: Vectors of a dimension that need no codebook.
+FLAT = 512
+#: Codewords of a half, at most: a fifth of the sample's vectors each have one of their own.
+MOST_WORDS = SAMPLE // 5
+CELLED = "id long, n long, dim int, k int, v array<double>, i int, cell int, visits array<int>"
+UNIT = "vec_id long, dim int, h1 long, h2 long, v array<double>"
+
+
+def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest codeword of each row, some rows at a time."""
+    step = max(1, (1 << 22) // max(len(c), 1))
+    return np.concatenate([_distances(x[at : at + step], c).argmin(1) for at in range(0, len(x), step)])
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = _distances(x, c).argmin(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        n = np.bincount(near, minlength=k)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        near = _near(x, c)
+        order = np.argsort(near, kind="stable")
+        u, first, n = np.unique(near[order], return_index=True, return_counts=True)
+        c = c.copy()
+        c[u] = np.add.reduceat(x[order], first, axis=0) / n[:, None]
     return c
 
 
@@ -54,7 +69,7 @@ class Grid:
     def __init__(self, sample: np.ndarray, n: int, threshold: float, recall: float, seed: int = 5):
         rng = np.random.default_rng(seed)
         half = max(sample.shape[1] // 2, 1)
-        k = int(min(len(sample), 1024, max(1, np.ceil(np.sqrt(n) / 4))))
+        k = int(min(len(sample), MOST_WORDS, max(1, np.ceil(np.sqrt(n) / 4))))
         self.half, self.k = half, k
         self.books = [_kmeans(sample[:, :half], k, rng), _kmeans(sample[:, half:], k, rng) if sample.shape[1] > half else np.zeros((k, 0))]
         x = sample[rng.permutation(len(sample))[:2000]]
@@ -62,14 +77,12 @@ class Grid:
         other -= (other * x).sum(1)[:, None] * x
         other /= np.maximum(np.linalg.norm(other, axis=1), 1e-300)[:, None]
         y = threshold * x + np.sqrt(1 - threshold**2) * other
-        d = [_distances(p, b) for p, b in zip(self.halves(x), self.books, strict=True)]
-        home = [_distances(p, b).argmin(1) for p, b in zip(self.halves(y), self.books, strict=True)]
-        row = np.arange(len(x))
-        reach = d[0][row, home[0]] + d[1][row, home[1]]
+        home = [_near(p, b) for p, b in zip(self.halves(y), self.books, strict=True)]
         rank = np.zeros(len(x))
-        for at in range(0, len(x), 64):
-            sums = d[0][at : at + 64, :, None] + d[1][at : at + 64, None, :]
-            rank[at : at + 64] = (sums <= reach[at : at + 64, None, None] + 1e-12).sum((1, 2))
+        for i in range(len(x)):
+            d = [_distances(p[i : i + 1], b)[0] for p, b in zip(self.halves(x), self.books, strict=True)]
+            reach = d[0][home[0][i]] + d[1][home[1][i]] + 1e-12
+            rank[i] = np.searchsorted(np.sort(d[1]), reach - d[0], "right").sum()
         self.visits = int(np.quantile(rank, recall)) if len(rank) else 1
         self.visits = max(1, min(self.visits, k * k))
 
@@ -99,19 +112,63 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _place(vectors: DataFrame, grid: Grid) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(grid)  # at most 2 * 1024 codewords
+def _units(table: DataFrame) -> DataFrame:
+    """Vectors of length one with two hashes (see UNIT); dim 0 and no vector for those that link with nothing."""
+    mul = np.random.default_rng(31).integers(1, 2**63, (2, 1 << 12), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def hashed(x: np.ndarray, which: int) -> np.ndarray:
+        out = np.full(len(x), x.shape[1], np.uint64)
+        for at in range(0, x.shape[1], 1 << 12):
+            part = mix(np.ascontiguousarray(x[:, at : at + (1 << 12)]).view(np.uint64) + np.uint64(which))
+            out = mix(out + (part * mul[which, : part.shape[1]]).sum(1, dtype=np.uint64))
+        return out
+
+    def rows(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                ids, lists = part.column(0), part.column(1)
+                size = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+                size[np.array(ids.is_null())] = 0
+                flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                full = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+                first = np.cumsum(full) - full
+                dim, keys, unit = np.zeros(part.num_rows, np.int32), np.zeros((part.num_rows, 2), np.uint64), [None] * part.num_rows
+                for d in np.unique(size[size > 0]):
+                    r = np.flatnonzero(size == d)
+                    x = flat[first[r][:, None] + np.arange(d)] + 0.0
+                    top = np.abs(x).max(1)
+                    good = np.isfinite(x).all(1) & (top > 0)
+                    r, x = r[good], x[good] / top[good][:, None]  # so that squares neither over- nor underflow
+                    x = x / np.sqrt((x * x).sum(1))[:, None] + 0.0
+                    dim[r] = d
+                    for w in (0, 1):
+                        keys[r, w] = hashed(x, w)
+                    for i, v in zip(r, x, strict=True):
+                        unit[i] = v
+                yield pa.RecordBatch.from_arrays([ids, pa.array(dim), *(pa.array(keys[:, w].copy().view(np.int64)) for w in (0, 1)), pa.array(unit, pa.list_(pa.float64()))], ["vec_id", "dim", "h1", "h2", "v"])
+
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(rows, UNIT)
+
+
+def _place(vectors: DataFrame, grids: dict[int, Grid]) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(grids)  # at most 2 * MOST_WORDS codewords a dimension of over FLAT vectors
 
     def rows(batches):
-        g = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                own, cells = g.traverse(_matrix(part.column(2)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * cells.shape[1], pa.int32()), pa.array(np.sort(cells, 1).ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(own // g.k, pa.int32()), pa.array(own, pa.int32()), lists], ["id", "n", "v", "i", "cell", "visits"])
+            dims = b.column(2).to_numpy()
+            for d in np.unique(dims):
+                mine = b.take(pa.array(np.flatnonzero(dims == d)))
+                grid = shared.value.get(int(d))
+                for at in range(0, mine.num_rows, 512):
+                    part = mine.slice(at, 512)
+                    own, cells, k = np.zeros(part.num_rows, np.int64), np.zeros((part.num_rows, 1), np.int64), 1
+                    if grid is not None:
+                        (own, cells), k = grid.traverse(_matrix(part.column(3))), grid.k
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * cells.shape[1], pa.int32()), pa.array(np.sort(cells, 1).ravel(), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.full(part.num_rows, k, np.int32)), part.column(3), pa.array(own // k, pa.int32()), pa.array(own, pa.int32()), lists], ["id", "n", "dim", "k", "v", "i", "cell", "visits"])
 
-    return vectors.select("id", "n", "v").mapInArrow(rows, CELLED)
+    return vectors.select("id", "n", "dim", "v").mapInArrow(rows, CELLED)
 
 
 def _joined(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -130,10 +187,11 @@ def _joined(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return [(int(a), int(b)) for a, b in zip([*left[q], *right[m]], [*one, *two], strict=True) if a != b]
 
 
-def _verify(laid: DataFrame, k: int, threshold: float) -> DataFrame:
+def _verify(laid: DataFrame, threshold: float) -> DataFrame:
     """Per task, (id, links found, null) and (id, null, id that it is connected with).
 
     laid: (block, side, id, n, v, cell, visits), a block's members (side 0) before its queries.
+    A member has all cells that it visits; a query has those of the block's grid row.
     """
 
     def rows(batches):
@@ -151,11 +209,13 @@ def _verify(laid: DataFrame, k: int, threshold: float) -> DataFrame:
             ids, n, v, cells, visits, order = table
             qid = queries.column(2).to_numpy()
             qn, qv, qcell = queries.column(3).to_numpy(), _matrix(queries.column(4)), queries.column(5).to_numpy()
-            want = _matrix(queries.column(6))
-            # the first batch rows may differ in nothing but order: all have as many visits
+            asked = np.repeat(np.arange(queries.num_rows), pa.compute.list_value_length(queries.column(6)).to_numpy())
+            want = queries.column(6).flatten().to_numpy()
+            by_cell = np.argsort(want, kind="stable")
+            want, asked = want[by_cell], asked[by_cell]
             for cell in np.unique(cells):
                 lo, hi = np.searchsorted(cells, cell), np.searchsorted(cells, cell, "right")
-                ask = np.flatnonzero((want == cell).any(1))
+                ask = asked[np.searchsorted(want, cell) : np.searchsorted(want, cell, "right")]
                 if not len(ask):
                     continue
                 link = (qv[ask] @ v[lo:hi].T >= threshold) & (qid[ask][:, None] != ids[lo:hi][None, :])
@@ -203,40 +263,35 @@ def _verify(laid: DataFrame, k: int, threshold: float) -> DataFrame:
 
 def near_vectors(table: DataFrame, threshold: float = 0.95, recall: float = 0.999) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    raw = F.col("embedding").cast("array<double>")
-    good = raw.isNotNull() & (F.size(raw) > 0) & F.forall(raw, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(raw, lambda x: x != 0)
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good & F.col("vec_id").isNotNull(), raw).alias("raw"))
-    dims = rows.where("raw IS NOT NULL").groupBy(F.size("raw").alias("dim")).count()
-    dim = dims.orderBy(F.desc("count"), "dim").limit(1).collect()  # one row
-    dim = dim[0]["dim"] if dim else 0
-    rows = rows.withColumn("raw", F.when(F.size("raw") == dim, F.transform("raw", lambda x: x + F.lit(0.0))))
-    top = F.aggregate("raw", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    rows = rows.withColumn("s", F.transform("raw", lambda x: x / top)).drop("raw")
-    # of length one; scaled by the largest part first, so that squares neither over- nor underflow
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("v", F.transform("s", lambda x: x / norm)).drop("s")
-    keyed = settle(rows, "vectors")
-    one = settle(keyed.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
-    n = one.count()
-    sample = one.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toArrow()
-    if n:
-        grid = Grid(_matrix(sample.column(0).combine_chunks()), n, threshold, recall)
-        placed = settle(_place(one, grid), "cells")
-        per_row = placed.groupBy("i").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("subs"))  # a row a codeword
-        member = placed.join(F.broadcast(per_row), "i").withColumns({"sub": F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"), "side": F.lit(0)})
-        goes = placed.withColumn("i", F.explode(F.array_distinct(F.transform("visits", lambda c: F.floor(c / F.lit(grid.k)).cast("int")))))
-        goes = goes.join(F.broadcast(per_row), "i").withColumns({"sub": F.explode(F.sequence(F.lit(0), F.col("subs") - 1)), "side": F.lit(1)})
-        cols = [(F.col("i").cast("long") * 1_000_000 + F.col("sub")).alias("block"), "side", "id", "n", "v", "cell", "visits"]
-        laid = member.select(*cols).unionByName(goes.select(*cols)).repartition("block").sortWithinPartitions("block", "side", "id")
-        found = settle(_verify(laid, grid.k, threshold), "found")
-    else:
-        found = keyed.sparkSession.createDataFrame([], "id long, links long, other long")
+    units = _units(table)
+    keyed = settle(units.drop("v"), "vectors")
+    same = units.where("dim > 0").groupBy("dim", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.any_value("v").alias("v"))
+    # a class is a node by a number of its own, fixed by the written table
+    one = settle(same.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    grids = {}
+    for r in one.groupBy("dim").count().where(F.col("count") > FLAT).collect():  # a row a dimension
+        mine = one.where(F.col("dim") == r["dim"]).where(F.pmod(F.xxhash64("h1"), F.lit(r["count"] // SAMPLE + 1)) == 0)
+        sample = mine.select("v").toArrow().column(0).combine_chunks()
+        if len(sample) > 1:
+            grids[r["dim"]] = Grid(_matrix(sample), r["count"], threshold, recall)
+    placed = settle(_place(one, grids), "cells")
+    per_row = few(placed.groupBy("dim", "i").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("subs")))  # a row a codeword
+    member = placed.join(per_row, ["dim", "i"]).withColumns({"sub": F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"), "side": F.lit(0)})
+    row_of = F.transform("visits", lambda c: F.floor(c / F.col("k")).cast("int"))
+    goes = placed.withColumn("i", F.explode(F.array_distinct(row_of)))
+    goes = goes.withColumn("visits", F.filter("visits", lambda c: F.floor(c / F.col("k")) == F.col("i")))
+    goes = goes.join(per_row, ["dim", "i"]).withColumns({"sub": F.explode(F.sequence(F.lit(0), F.col("subs") - 1)), "side": F.lit(1)})
+    # 22 bits for the dimension, 14 for the row, 27 for the part of it
+    block = F.shiftleft(F.col("dim").cast("long"), 41) + F.shiftleft(F.col("i").cast("long"), 27) + F.col("sub")
+    cols = [block.alias("block"), "side", "id", "n", "v", "cell", "visits"]
+    laid = member.select(*cols).unionByName(goes.select(*cols)).repartition("block").sortWithinPartitions("block", "side", "id")
+    found = settle(_verify(laid, threshold), "found")
     links = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("far"))
-    root = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    named = one.join(links, "id", "left").join(root.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("v", F.col("n") - 1 + F.coalesce("far", F.lit(0)), F.coalesce("root", "id")).toDF("v", "n_links", "root")
-    # by a hash of the vector, then the vector itself
-    named = named.select(F.xxhash64("v").alias("_h"), F.col("v").alias("_v"), "n_links", "root")
-    out = keyed.join(named, (F.xxhash64("v") == F.col("_h")) & (F.col("v") == F.col("_v")), "left")
-    comp = F.coalesce("root", "vec_id")
+    root = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "id")
+    # written first, so that Spark can split a large component in the join after it
+    name = settle(root.join(one.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("name")), "names")
+    named = one.select("id", "dim", "h1", "h2", "n", "least").join(links, "id", "left").join(root.join(name, "root").drop("root"), "id", "left")
+    named = named.select("dim", "h1", "h2", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("name", "least").alias("name"))
+    out = keyed.join(settle(named, "named"), ["dim", "h1", "h2"], "left")
+    comp = F.coalesce("name", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("vec_id").eqNullSafe(comp).alias("kept"))

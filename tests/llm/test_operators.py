@@ -501,33 +501,45 @@ def test_signature_similarity():
     assert abs(minhash.agreement(a[0], a[1:])[0] - (share - 1 / 16) / (15 / 16)) < 1e-12
 
 
-@pytest.mark.parametrize("held", [4096, 50])
-def test_embeddings(spark, monkeypatch, held):
+@pytest.mark.parametrize("held, flat", [(4096, 512), (50, 20)])
+def test_embeddings(spark, monkeypatch, held, flat):
     monkeypatch.setattr(embed, "HELD", held)
+    monkeypatch.setattr(embed, "FLAT", flat)
     t = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     r = np.random.default_rng(6)
     near = [(10_000 + i, (np.array(t.embedding[i % 7]) + 0.02 * r.standard_normal(64)).astype("float32").tolist()) for i in range(60)]
     odd = [(20_000, None), (20_001, [0.0] * 64), (20_002, [1.0] * 63), (20_003, [float("nan")] + [1.0] * 63), (20_004, [float("inf")] + [1.0] * 63), (20_005, [None] + [1.0] * 63), (20_006, []), (20_007, [1e38] * 64), (20_008, [1e-30] * 64)]
     rows = [(int(i), [float(x) for x in v]) for i, v in zip(t.vec_id, t.embedding, strict=True)] + near + odd + near[:5]
     rows += [(30_000 + i, rows[3][1]) for i in range(20)]
-    df = spark.createDataFrame([(*x, "h", 1) for x in rows], "vec_id long, embedding array<float>, v string, n int")
-    good = [k for k, (_, v) in enumerate(rows) if v and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    x = np.array([rows[k][1] for k in good], np.float32).astype(float)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    link = x @ x.T >= 0.95
-    ids = [rows[k][0] for k in good]
-    want = Counter()
-    links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(link), strict=True) if a < b]
-    root = roots_of({i for i, _ in rows}, links)
-    n = dict.fromkeys(range(len(rows)), 0) | {k: int(link[j].sum()) - 1 for j, k in enumerate(good)}
+    rows += [(40_000 + i, [1.0, 0.01 * i, -0.0]) for i in range(40)] + [(50_000, [2.0]), (50_001, [0.5]), (50_002, [-1.0])]  # other dimensions
+    df = spark.createDataFrame([(*x, "h", 1) for x in rows], "vec_id long, embedding array<float>, v string, dim int")
+    n, root = [0] * len(rows), {}
+    links = []
+    for d in (1, 3, 63, 64):
+        good = [k for k, (_, v) in enumerate(rows) if v and len(v) == d and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+        x = np.array([rows[k][1] for k in good], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        link = x @ x.T >= 0.95
+        for j, k in enumerate(good):
+            n[k] = int(link[j].sum()) - 1
+        links += [(good[a], good[b]) for a, b in zip(*np.nonzero(link), strict=True) if a < b]
+    of = roots_of(range(len(rows)), links)
     for k, (i, _) in enumerate(rows):
-        want[i, n[k], root[i], root[i] == i] += 1
+        root[of[k]] = min(i, root.get(of[k], i))
+    want = Counter((i, n[k], root[of[k]], root[of[k]] == i) for k, (i, _) in enumerate(rows))
     got = counted(embed.near_vectors(df), "vec_id", "n_links", "component_id", "kept")
     assert sum((got & want).values()) >= 0.97 * sum(want.values())  # the index may miss links, but no more than few
     assert all(sum(c for k, c in got.items() if k[0] == i) == sum(c for k, c in want.items() if k[0] == i) for i, _ in rows)
     assert embed.near_vectors(df.where("false")).count() == 0
 
 
+def test_embeddings_with_shared_and_null_ids(spark):
+    v, w, u = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, v), (7, v), (7, u), (8, u), (9, w), (None, v), (None, None), (10, [1.0, 0.0])]
+    out = embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert counted(out, "vec_id", "n_links", "component_id", "kept") == Counter([(3, 2, 3, True), (7, 2, 3, False), (7, 1, 7, True), (8, 1, 7, False), (9, 2, 3, False), (None, 0, None, True), (None, 0, None, True), (10, 0, 10, True)])
+
+
 def test_warc(spark, tmp_path):
     pages = [(i, f"http://a/{i % 3} x", h) for i, h in enumerate(["<p>" + "a" * 200 + "</p>"] * 30 + ["short", "short", None, "", "é" * 60, "é" * 60, "WARC/1.1\r\n\r\n" * 20, "WARC/1.1\r\n\r\n" * 20 + "\r\n"])]
     df = spark.createDataFrame([(*p, "b", "d") for p in pages], "page_id long, url string, html string, body string, record_type string")
