@@ -1,26 +1,31 @@
-"""Exact removal of repeated byte strings, by minimiser anchors and hashes of windows.
+"""Exact removal of repeated byte strings, by refining buckets of q-grams on later buckets.
 
 A byte goes if a string of ``width`` bytes that covers it also starts anywhere else in
-the corpus. The order of all suffixes is not needed for that, only which suffixes share
-``width`` bytes. This is not bucket-pointer refinement: no position carries a bucket id,
-and no bucket is refined by the bucket of a later offset. Windows are grouped by anchor,
-then by hash of their hull, then by hash of themselves:
+the corpus. The order of all suffixes is not needed for that, only which positions share
+a bucket at depth ``width``. Bucket-pointer refinement finds those: a position's bucket
+at depth h + s is its bucket at depth h together with the bucket, at depth h, of the
+position s later (s at most h), so each round's buckets are the next round's keys
+(``refine``: q, 2q, ... up to ``width``). A position that is alone in its bucket is done.
+
+Not every position has to carry a bucket through Spark:
 
 1. Of the ``q``-grams in each ``width``-byte window the one with the smallest hash is its
-   anchor. Equal windows have equal anchors at equal places, so it is enough to bucket
-   the anchors (about one position in seventy). The q-gram is the first bucket; anchors
-   that are alone in theirs are done.
-2. A bucket is refined by what lies around the anchor: the hull, which is all bytes of
+   anchor. Equal windows have equal anchors at equal places, so the first buckets are
+   those of the anchors' q-grams (about one position in seventy).
+2. An anchor's bucket is refined by what lies around it: the hull, which is all bytes of
    the windows that the anchor stands for. Anchors with the same refined bucket share
-   all their windows; those are settled without looking at single windows.
+   all their windows; those are settled without looking at single positions.
 3. From each refined bucket of a first bucket that did split, one anchor goes on with the
-   bytes of its hull, and its windows are refined one by one. A bucket with up to
-   ``MEET`` kinds of hulls meets in one task. Those of a larger one are counted by
-   window, summed on the map side first.
+   bytes of its hull. All positions of these hulls carry buckets, which are refined by
+   the buckets at later offsets. A first bucket with up to ``MEET`` kinds of hulls meets
+   in one task. A larger one is refined by Spark in written rounds: positions that are
+   alone at depth width / 2 go, the others are counted by their bucket there and that of
+   the position width / 2 later.
 
-Buckets are counted by hash aggregation, so a string that every document has is nowhere
-a single large group; what many share goes back to its documents by joins that Spark may
-split. A text is named by its 64-bit hash, and equal texts lose the same bytes.
+Buckets are named and counted by 64-bit hashes, so a string that every document has is
+nowhere a single large group; what many share goes back to its documents by joins with
+written tables that Spark may broadcast or split. A text is named by its 64-bit hash, and
+equal texts lose the same bytes.
 
 Null text is empty. Matches never cross documents. Repeated rows are separate documents
 (each covers the other). Extra columns are ignored; an empty table gives no rows.
@@ -125,38 +130,70 @@ def _hulls(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text_key", "text", "asked").mapInArrow(rows, schema)
 
 
-def _each_window(hulls: pa.RecordBatch, width: int):
-    """For every window of some hulls: the hull's number, the place in it, the window's hash."""
+def _rank(*keys: np.ndarray) -> np.ndarray:
+    """Bucket numbers of equal keys, -1 for those that are alone or have a key of -1."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    if len(order):
+        new[0] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.r_[first, len(order)])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.where(np.repeat(size, size) > 1, np.repeat(np.arange(len(first)), size), -1)
+    for k in keys:
+        out[k < 0] = -1
+    return out
+
+
+def refine(bucket: np.ndarray, later: np.ndarray, q: int, width: int) -> np.ndarray:
+    """Buckets at depth ``width`` from those at depth ``q``.
+
+    Positions are numbered text after text; ``later`` is how many positions of the same text
+    follow. A position without one to be refined by, or alone in its bucket, has -1.
+    """
+    h = q
+    while h < width:
+        step = min(h, width - h)
+        ahead = np.full(len(bucket), -1, np.int64)
+        can = np.flatnonzero((later >= step) & (bucket >= 0))
+        ahead[can] = bucket[can + step]
+        live = np.flatnonzero(ahead >= 0)
+        finer = np.full(len(bucket), -1, np.int64)
+        finer[live] = _rank(bucket[live], ahead[live])
+        bucket, h = finer, h + step
+    return bucket
+
+
+def _positions(hulls: pa.RecordBatch, q: int):
+    """For every q-gram of some hulls: the hull's number, the place in it, how many follow, its hash."""
     for lo, _, data, off in byte_slices(hulls.column(4), SLICE):
-        count = np.diff(off) - width + 1
+        count = np.diff(off) - q + 1
         each = np.repeat(np.arange(len(count)), count)
         place = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-        at = off[each] + place
-        yield lo + each, place, mix(Hashes(data).of(at, at + width))
+        yield lo + each, place, count[each] - 1 - place, mix(Hashes(data).windows(q)[off[each] + place])
 
 
 RANGES = "text_key long, start int, end int"
 
 
-def _meet(hulls: DataFrame, width: int) -> DataFrame:
+def _meet(hulls: DataFrame, width: int, q: int) -> DataFrame:
     """Ranges that the repeated windows of each bucket's hulls cover; a bucket meets in one task."""
 
-    def refine(held):
+    def settled(held):
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        hull, place, value = (np.concatenate(x) for x in zip(*_each_window(t, width), strict=True))
-        bucket = t.column(0).to_numpy()[hull]
-        order = np.lexsort((value, bucket))
-        same = (value[order][1:] == value[order][:-1]) & (bucket[order][1:] == bucket[order][:-1])
-        again = np.zeros(len(value), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
+        hull, place, later, gram = (np.concatenate(x) for x in zip(*_positions(t, q), strict=True))
+        anchor = np.unique(t.column(0).to_numpy(), return_inverse=True)[1]
+        first = _rank(anchor[hull], (gram >> np.uint64(1)).astype(np.int64))
+        again = np.flatnonzero(refine(first, later, q, width) >= 0)
         hull, place = hull[again], place[again]  # still by hull, then place
         if not len(hull):
             return None
         new = np.flatnonzero(np.r_[True, (hull[1:] != hull[:-1]) | (place[1:] != place[:-1] + 1)])
         last = np.r_[new[1:], len(hull)] - 1
-        first = t.column(2).to_numpy()[hull[new]]
-        return pa.RecordBatch.from_arrays([t.column(1).take(pa.array(hull[new])), pa.array((first + place[new]).astype(np.int32)), pa.array((first + place[last] + width).astype(np.int32))], ["text_key", "start", "end"])
+        at = t.column(2).to_numpy()[hull[new]]
+        return pa.RecordBatch.from_arrays([t.column(1).take(pa.array(hull[new])), pa.array((at + place[new]).astype(np.int32)), pa.array((at + place[last] + width).astype(np.int32))], ["text_key", "start", "end"])
 
     def rows(batches):
         held, size = [], 0
@@ -165,31 +202,37 @@ def _meet(hulls: DataFrame, width: int) -> DataFrame:
             at = 0
             for cut in [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1)[::50], b.num_rows]:
                 if held and at < b.num_rows and size > 1 << 20 and keys[at] != held[-1].column(0)[-1].as_py():
-                    if (out := refine(held)) is not None:
+                    if (out := settled(held)) is not None:
                         yield out
                     held, size = [], 0
                 held.append(b.slice(at, cut - at))
                 size += held[-1].nbytes
                 at = cut
-        if held and sum(len(x) for x in held) and (out := refine(held)) is not None:
+        if held and sum(len(x) for x in held) and (out := settled(held)) is not None:
             yield out
 
     return hulls.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, RANGES)
 
 
-def _count(hulls: DataFrame, width: int) -> DataFrame:
-    """The same for buckets of any size, by sums over all windows."""
+def _rounds(hulls: DataFrame, width: int) -> DataFrame:
+    """The same for buckets of any size, in written rounds over all positions of their hulls."""
+    half = -(-width // 2)
 
     def rows(batches):
         for b in batches:
             if b.num_rows:
-                for hull, place, value in _each_window(b, width):
-                    first = b.column(2).to_numpy()[hull]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hull)), pa.array(signed(value)), b.column(1).take(pa.array(hull)), pa.array((first + place).astype(np.int32))], ["anchor", "value", "text_key", "start"])
+                for hull, place, later, bucket in _positions(b, half):
+                    at = np.flatnonzero(later >= width - half)
+                    keep = pa.array(hull[at])
+                    start = (b.column(2).to_numpy()[hull[at]] + place[at]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array(signed(bucket[at])), pa.array(signed(bucket[at + width - half])), b.column(1).take(keep), pa.array(start)], ["anchor", "bucket", "later", "text_key", "start"])
 
-    w = hulls.mapInArrow(rows, "anchor long, value long, text_key long, start int")
-    again = w.groupBy("anchor", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return w.join(again, ["anchor", "value"]).select("text_key", "start", (F.col("start") + width).cast("int").alias("end"))
+    w = hulls.mapInArrow(rows, "anchor long, bucket long, later long, text_key long, start int")
+    for keys in (["anchor", "bucket"], ["anchor", "bucket", "later"]):
+        w = settle(w, "positions")
+        again = settle(w.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
+        w = w.join(again, keys, "left_semi")
+    return w.select("text_key", "start", (F.col("start") + width).cast("int").alias("end"))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -228,9 +271,11 @@ def repeated_spans(docs: DataFrame, width: int = 200, q: int = 50) -> DataFrame:
     seen = settle(a.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "seen")
     live = settle(a.join(seen, "anchor", "left_semi"), "anchors")
     hulls = live.groupBy("anchor", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "first", "windows")).alias("one"))
-    kinds = hulls.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # written first, like the counts of their kinds, for the joins below
+    hulls = settle(hulls, "hulls")
+    kinds = settle(hulls.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
     # refined buckets of more than one anchor: all their windows repeat
-    whole = live.join(hulls.where("n > 1").select("anchor", "hull"), ["anchor", "hull"])
+    whole = live.join(hulls.where("n > 1").select("anchor", "hull"), ["anchor", "hull"], "left_semi")
     whole = whole.select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + width).cast("int").alias("end"))
     # one anchor of each refined bucket of a bucket that split goes on with one document of its text
     ask = hulls.join(kinds, "anchor").select(F.col("one.text_key").alias("text_key"), (F.col("kinds") > MEET).alias("large"), F.struct("anchor", "one.first", "one.windows").alias("x"))
@@ -241,9 +286,9 @@ def repeated_spans(docs: DataFrame, width: int = 200, q: int = 50) -> DataFrame:
     ask = ask.join(named, "text_key")
     # the texts are shuffled once: both joins by text_key read the same exchange
     asked = laid.join(ask, "text_key").where(id_or_least == F.col("one_doc"))
-    ranges = whole.unionByName(_meet(_hulls(asked.where("NOT large"), width), width))
+    ranges = whole.unionByName(_meet(_hulls(asked.where("NOT large"), width), width, q))
     if any_large:
-        ranges = ranges.unionByName(_count(_hulls(asked.where("large"), width), width))
+        ranges = ranges.unionByName(_rounds(_hulls(asked.where("large"), width), width))
     ranges = ranges.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     out = _cut(laid.join(ranges, "text_key", "left"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")

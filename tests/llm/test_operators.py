@@ -382,6 +382,20 @@ def test_suffix(docs, rows, empty, monkeypatch, width, q, meet):
     assert suffix.repeated_spans(empty).count() == 0
 
 
+def test_refined_buckets_are_those_of_equal_strings():
+    r = np.random.default_rng(14)
+    for q, width in ((2, 8), (3, 7), (5, 5), (4, 11)):
+        texts = ["".join(r.choice(list("ab"), int(r.integers(q, 60)))) for _ in range(12)]
+        grams = [t[i : i + q] for t in texts for i in range(len(t) - q + 1)]
+        later = np.concatenate([np.arange(len(t) - q, -1, -1) for t in texts])
+        first = suffix._rank(np.unique(grams, return_inverse=True)[1])
+        got = suffix.refine(first, later, q, width)
+        full = [t[i : i + width] if i + width <= len(t) else None for t in texts for i in range(len(t) - q + 1)]
+        n = Counter(full)
+        assert [g >= 0 for g in got] == [f is not None and n[f] > 1 for f in full]
+        assert len({(g, f) for g, f in zip(got, full, strict=True) if g >= 0}) == len({g for g in got if g >= 0})
+
+
 def test_shards(docs, rows, empty):
     out = shards.assign(docs, 24).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in rows)
