@@ -45,6 +45,8 @@ from gaitframe.llm.shared import Hashes, byte_slices, list_array, mix, settle, s
 ANCHORS = "text_key long, anchor long, hull long, first int, windows int"
 #: Kinds of hulls of a bucket that meet in one task, each of under 2 * width bytes.
 MEET = 4096
+#: Parts that the anchors of a refined bucket are dealt over.
+SALTS = 4
 SLICE = 1 << 18
 _LOW = np.uint64(0xFFFFFF)
 
@@ -275,10 +277,13 @@ def repeated_spans(docs: DataFrame, width: int = 200, q: int = 50) -> DataFrame:
     hulls = settle(hulls, "hulls")
     kinds = settle(hulls.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
     # refined buckets of more than one anchor: all their windows repeat
-    whole = live.join(hulls.where("n > 1").select("anchor", "hull"), ["anchor", "hull"], "left_semi")
+    # salted, as a string that very many documents have is one of them; sorted and merged at every size
+    again = hulls.where("n > 1").select("anchor", "hull", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = live.withColumn("salt", F.pmod(F.hash("text_key"), F.lit(SALTS)))
+    whole = dealt.join(again.hint("merge"), ["anchor", "hull", "salt"], "left_semi")
     whole = whole.select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + width).cast("int").alias("end"))
     # one anchor of each refined bucket of a bucket that split goes on with one document of its text
-    ask = hulls.join(kinds, "anchor").select(F.col("one.text_key").alias("text_key"), (F.col("kinds") > MEET).alias("large"), F.struct("anchor", "one.first", "one.windows").alias("x"))
+    ask = hulls.join(kinds.hint("merge"), "anchor").select(F.col("one.text_key").alias("text_key"), (F.col("kinds") > MEET).alias("large"), F.struct("anchor", "one.first", "one.windows").alias("x"))
     ask = settle(ask.groupBy("text_key", "large").agg(F.collect_list("x").alias("asked")), "asked")
     id_or_least = F.coalesce("doc_id", F.lit(-(2**63)))
     named = laid.groupBy("text_key").agg(F.min(id_or_least).alias("one_doc"))
