@@ -18,9 +18,8 @@ Not every position has to carry a bucket through Spark:
 3. From each refined bucket of a first bucket that did split, one anchor goes on with the
    bytes of its hull. All positions of these hulls carry buckets, which are refined by
    the buckets at later offsets. A first bucket with up to ``MEET`` kinds of hulls meets
-   in one task. A larger one is refined by Spark in written rounds: positions that are
-   alone at depth width / 2 go, the others are counted by their bucket there and that of
-   the position width / 2 later.
+   in one task. A larger one takes its last round in Spark: positions are counted by their
+   bucket at depth width / 2 and that of the position width / 2 later.
 
 Buckets are named and counted by 64-bit hashes, so a string that every document has is
 nowhere a single large group; what many share goes back to its documents by joins with
@@ -216,8 +215,8 @@ def _meet(hulls: DataFrame, width: int, q: int) -> DataFrame:
     return hulls.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, RANGES)
 
 
-def _rounds(hulls: DataFrame, width: int) -> DataFrame:
-    """The same for buckets of any size, in written rounds over all positions of their hulls."""
+def _last_round(hulls: DataFrame, width: int) -> DataFrame:
+    """The same for buckets of any size: the last round, as counts over all positions of their hulls."""
     half = -(-width // 2)
 
     def rows(batches):
@@ -230,11 +229,10 @@ def _rounds(hulls: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array(signed(bucket[at])), pa.array(signed(bucket[at + width - half])), b.column(1).take(keep), pa.array(start)], ["anchor", "bucket", "later", "text_key", "start"])
 
     w = hulls.mapInArrow(rows, "anchor long, bucket long, later long, text_key long, start int")
-    for keys in (["anchor", "bucket"], ["anchor", "bucket", "later"]):
-        w = settle(w, "positions")
-        again = settle(w.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
-        w = w.join(again, keys, "left_semi")
-    return w.select("text_key", "start", (F.col("start") + width).cast("int").alias("end"))
+    keys = ["anchor", "bucket", "later"]
+    again = w.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # one query with the rest, so that the texts are shuffled once
+    return w.join(again, keys, "left_semi").select("text_key", "start", (F.col("start") + width).cast("int").alias("end"))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -293,7 +291,7 @@ def repeated_spans(docs: DataFrame, width: int = 200, q: int = 50) -> DataFrame:
     asked = laid.join(ask, "text_key").where(id_or_least == F.col("one_doc"))
     ranges = whole.unionByName(_meet(_hulls(asked.where("NOT large"), width), width, q))
     if any_large:
-        ranges = ranges.unionByName(_rounds(_hulls(asked.where("large"), width), width))
+        ranges = ranges.unionByName(_last_round(_hulls(asked.where("large"), width), width))
     ranges = ranges.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     out = _cut(laid.join(ranges, "text_key", "left"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")
