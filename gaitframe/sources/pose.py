@@ -31,14 +31,24 @@ def last_by_frame(records: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return rows.select("video_path", "frame_index", "r.*")
 
 
+def _by_name(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """CSV columns by the names in the header, null where one is absent or a value does not parse.
+
+    Files that are read together share the first one's header; another header is an error.
+    """
+    header = spark.read.csv(path, header=True).schema  # the header only
+    raw = spark.read.schema(header).option("enforceSchema", False).csv(path, header=True)
+    return raw.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in header.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
 def read_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Movement features from CSV; NaN counts as null."""
-    df = spark.read.schema(FEATURES).csv(path, header=True)
+    df = _by_name(spark, path, FEATURES)
     return df.select(*[clean(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in FEATURES.fields])
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT).csv(path, header=True)
+    return _by_name(spark, path, AUDIT)
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -55,17 +65,29 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_features(spark: SparkSession, manifest: DataFrame, base: str) -> DataFrame:
-    """Features of every file that the manifest names, with their shot_id: one scan, joined on the file's path."""
-    named = manifest.withColumn("_file", F.when(F.col("movement_features_csv").startswith("/"), F.col("movement_features_csv")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), "movement_features_csv")))
-    files = [r["_file"] for r in named.select("_file").distinct().collect()]  # a manifest row a clip, names only
-    rows = read_features(spark, files).withColumn("_path", F.regexp_replace(F.input_file_name(), "^[a-z]+:/+", "/"))
-    return rows.drop("video_id").join(named.select("shot_id", "shot_type", "_file"), F.col("_path") == F.col("_file")).drop("_path", "_file")
-
+    """Features of every file that the manifest names, with their shot_id: one scan, joined on the file's path.
 
-def list_videos(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of the clips under a folder; contents are not read."""
+    Paths that start with ``/`` or a scheme are absolute. A row of a file that no manifest row
+    names is an error.
+    """
+    path = F.col("movement_features_csv")
+    named = manifest.withColumn("_file", F.when(path.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path)))
+    files = [r["_file"] for r in named.select("_file").distinct().collect()]  # a manifest row a clip, names only
+    plain = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
+    # the scan's paths are percent-encoded
+    read = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    rows = read_features(spark, files).withColumn("_path", F.regexp_replace(read, plain, "/"))
+    named = named.select("shot_id", "shot_type", F.regexp_replace("_file", plain, "/").alias("_file"))
+    j = rows.drop("video_id").join(named, F.col("_path") == F.col("_file"), "left")
+    lost = F.raise_error(F.concat(F.lit("no manifest row names "), F.col("_path")))
+    return j.where(F.when(F.col("_file").isNull(), lost).otherwise(F.lit(True))).drop("_path", "_file")
+
+
+def list_videos(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+    """Paths of the clips under a folder, the first ``limit`` by path if asked; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
-    return files.where(names.is_video(F.col("path")))
+    files = files.where(names.is_video(F.col("path")))
+    return files if limit is None else files.orderBy("path").limit(limit)
 
 
 def list_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -329,3 +329,28 @@ def test_stream(spark, tmp_path):
     assert sorted(r.frame_index for r in spark.read.parquet(str(tmp_path / "q")).collect()) == list(range(6))
     streams.write_landmark_rows(streams.record_stream(spark, str(tmp_path / "in")), str(tmp_path / "l"), str(tmp_path / "cl")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "l")).count() == 24
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("frame_index,head_y,head_x,video_id,usable_for_motion,extra\n3,0.2,NaN,v,True,z\n4,bad,0.5,v,False,z\n")
+    got = {r.frame_index: r for r in pose.read_features(spark, str(tmp_path / "a.csv")).collect()}
+    assert (got[3].head_x, got[3].head_y, got[3].usable_for_motion, got[3].phase) == (None, 0.2, True, None)
+    assert (got[4].head_x, got[4].head_y, got[4].usable_for_motion) == (0.5, None, False)
+    (tmp_path / "b.csv").write_text("video_id,frame_index\nv,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        pose.read_features(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+
+
+def test_manifest_files_with_odd_names_keep_their_rows(spark, tmp_path):
+    rows = []
+    for i, name in enumerate(["plain.csv", "with space.csv", "a+b 100%.csv"]):
+        (tmp_path / name).write_text(f"video_id,frame_index\nv,{i}\n")
+        rows.append((f"s{i}", "pull", name if i else f"file://{tmp_path}/{name}"))
+    m = spark.createDataFrame(rows, "shot_id string, shot_type string, movement_features_csv string")
+    assert {(r.shot_id, r.frame_index) for r in pose.manifest_features(spark, m, str(tmp_path)).collect()} == {("s0", 0), ("s1", 1), ("s2", 2)}
+
+
+def test_first_videos_by_path(spark, tmp_path):
+    for name in ("b.mp4", "a.mov", "c.txt", "d.avi"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.path.rsplit("/", 1)[1] for r in pose.list_videos(spark, str(tmp_path), 2).collect()] == ["a.mov", "b.mp4"]
