@@ -21,6 +21,29 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"[^.](\.[^.]+)$", 1))
 
 
+def _resolved(path: Column) -> Column:
+    """Parts of a path without ``.`` and ``..``."""
+    up = F.lit("..")
+    return F.aggregate(parts(path), F.array().cast("array<string>"), lambda to, x: F.when(x == up, F.slice(to, 1, F.greatest(F.size(to) - 1, F.lit(0)))).otherwise(F.concat(to, F.array(x))))
+
+
+def relative_path(path: Column, start: Column) -> Column:
+    """The path as seen from the folder ``start``; as it is where one is absolute and the other not, or their schemes differ."""
+    root = r"^([A-Za-z][A-Za-z0-9+.-]*:/+|/?)"
+    p, s = _resolved(path), _resolved(start)
+    other = F.array_position(F.zip_with(p, s, lambda a, b: a.eqNullSafe(b)), False).cast("int")
+    common = F.when(other > 0, other - 1).otherwise(F.size(p))
+    steps = F.concat(F.array_repeat(F.lit(".."), F.size(s) - common), F.slice(p, common + 1, F.size(p)))
+    seen = F.when(F.size(steps) > 0, F.array_join(steps, "/")).otherwise(".")
+    return F.when(F.regexp_extract(path, root, 1) == F.regexp_extract(start, root, 1), seen).otherwise(path)
+
+
+def shown_path(path: Column, root: Column) -> Column:
+    """The path below ``root``; as it is where it lies elsewhere."""
+    seen = relative_path(path, root)
+    return F.when(seen.rlike(r"^\.\.(/|$)"), path).otherwise(seen)
+
+
 def video_id(path: Column) -> Column:
     return F.coalesce(F.nullif(stem(path), F.lit("")), F.lit("unknown_video"))
 

@@ -55,7 +55,8 @@ def z_score(value: Column, mean: Column, std: Column) -> Column:
 
 
 def timestamp_ms(frame: Column, fps: Column) -> Column:
-    """Milliseconds from the start; the frame number itself where the rate is not positive."""
+    """Milliseconds from the start; the frame number itself where the rate is not positive. A negative frame is an error."""
+    frame = F.when(frame < 0, F.raise_error(F.lit("a frame number must not be negative")).cast("long")).otherwise(frame)
     return F.when(fps > 0, F.bround(F.try_divide(frame.cast("double"), fps) * 1000)).otherwise(frame).cast("long")
 
 

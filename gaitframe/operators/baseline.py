@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaitframe.functions.names import relative_path
 from gaitframe.functions.numbers import number
 from gaitframe.schema import METRIC_NAMES, METRICS
 
@@ -40,6 +41,18 @@ def distributions(shots: DataFrame) -> DataFrame:
     return rows.groupBy("shot_type", "metric").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
+def baseline_manifest(clips: DataFrame, folder: str, shot_type: str) -> DataFrame:
+    """shot_id, one shot type for all, and the feature file's path as seen from the manifest's folder (clips: video_id, features_path)."""
+    return clips.select(F.col("video_id").alias("shot_id"), F.lit(shot_type).alias("shot_type"), relative_path(F.col("features_path"), F.lit(folder)).alias("movement_features_csv"))
+
+
+def baseline_table(shots: DataFrame) -> DataFrame:
+    """Manifest shots, usable shots and how many metrics have a distribution, by type."""
+    known = [F.count(F.when(F.col("is_usable"), F.col(m))) > 0 for m in METRIC_NAMES]
+    features = sum((k.cast("int") for k in known), F.lit(0))
+    return shots.groupBy("shot_type").agg(F.count(F.lit(1)).alias("manifest_shots"), F.count_if("is_usable").alias("usable_shots"), features.alias("feature_count"))
+
+
 def type_counts(shots: DataFrame) -> DataFrame:
     """Manifest shots, usable shots and sorted shot ids by type."""
     return shots.groupBy("shot_type").agg(F.count(F.lit(1)).alias("manifest_shots"), F.count_if("is_usable").alias("usable_shots"), F.sort_array(F.collect_list("shot_id")).alias("shot_ids"))

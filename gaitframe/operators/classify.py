@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaitframe.functions.numbers import number
 from gaitframe.schema import METRIC_NAMES
 
 #: Rows that one block of the neighbour search holds.
@@ -32,10 +33,17 @@ def checked_label_join(manifest: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("shot_type", F.coalesce("shot_type", F.raise_error(F.concat(F.lit("no label for "), "shot_id")).cast("string")))
 
 
+def known_metrics(shots: DataFrame) -> list[str]:
+    """The metrics that some shot has: one pass, seven counts."""
+    counts = shots.agg(*[F.count(number(F.col(c))).alias(c) for c in METRIC_NAMES]).first()
+    return [c for c in METRIC_NAMES if counts[c]]
+
+
 def scaled(shots: DataFrame, columns: tuple[str, ...] = METRIC_NAMES) -> DataFrame:
     """Metrics with means for nulls, less the mean, over the population deviation (0: 1).
 
-    A metric that no shot has is 0 everywhere, and so adds nothing to a distance.
+    A metric that no shot has is 0 everywhere, and so adds nothing to a distance; to leave
+    such metrics out, give ``known_metrics``.
     """
     means = shots.agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
     filled = shots.join(F.broadcast(means)).withColumns({c: F.coalesce(c, f"m_{c}") for c in columns})  # one row
@@ -53,7 +61,7 @@ def nearest(points: DataFrame, columns: tuple[str, ...] = METRIC_NAMES, block: i
     """
     n = points.count()
     blocks = max(1, -(-n // block))
-    p = points.select("shot_id", "shot_type", F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    p = points.select("shot_id", "shot_type", F.array(*[F.col(c).cast("double") for c in columns if c in points.columns]).cast("array<double>").alias("v"))
     held = p.groupBy(F.pmod(F.xxhash64("shot_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("shot_id", "shot_type", "v")).alias("members"))
     asks = p.select("shot_id", F.col("shot_type").alias("true_shot_type"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
 
@@ -88,9 +96,3 @@ def evaluation(predictions: DataFrame, shots: DataFrame) -> DataFrame:
     )
     one = sizes.join(F.broadcast(hit)).join(F.broadcast(known))  # one row each
     return one.select(status.alias("evaluation_status"), "samples", "classes", F.when(status.isin("ok", "insufficient_class_replicates_for_reliable_evaluation"), F.col("accuracy")).alias("accuracy"))
-
-
-def best_first(df: DataFrame, *by: str, order: list) -> DataFrame:
-    """The first row of each group in an order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

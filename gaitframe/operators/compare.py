@@ -10,13 +10,13 @@ from gaitframe.operators.baseline import metric_rows
 
 COMPARABLE = ("within_baseline", "above_baseline", "below_baseline")
 
-# What is said of each status.
+#: What is said of each status.
 NOTES = {
-    "missing_shot_type_baseline": "Comparison requires a baseline built from usable shots of the same type.",
-    "insufficient_shot_pose_data": "The test shot has zero usable motion frames.",
-    "insufficient_baseline_data": "The selected shot-type baseline has zero usable shots.",
-    "insufficient_metric_overlap": "The shot and baseline do not share enough numeric movement metrics.",
-    "comparison_available": "Comparison is available, but metrics are still 2D pose-derived proxies.",
+    "missing_shot_type_baseline": "No shot of this type is in the baseline.",
+    "insufficient_shot_pose_data": "No frame of the shot can be used for motion.",
+    "insufficient_baseline_data": "None of the baseline's shots of this type can be used.",
+    "insufficient_metric_overlap": "No metric is known of both the shot and the baseline.",
+    "comparison_available": "The shot was compared; its metrics are proxies in the picture's plane.",
 }
 
 

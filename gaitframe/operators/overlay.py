@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaitframe.functions.numbers import half_even
@@ -11,14 +11,38 @@ from gaitframe.schema import SKELETON
 
 
 def pixel_points(records: DataFrame, width: int, height: int) -> DataFrame:
-    """Pixels of the first pose's landmarks that lie in the picture; the last of equal indexes."""
-    rows = records.select("video_path", "frame_index", F.posexplode(first_pose(F.col("pose_landmarks"))).alias("nth", "l")).where("l.x BETWEEN 0 AND 1 AND l.y BETWEEN 0 AND 1")
-    px, py = half_even(F.col("l.x") * width).cast("int"), half_even(F.col("l.y") * height).cast("int")
-    return rows.groupBy("video_path", "frame_index", F.col("l.landmark_index").alias("landmark_index")).agg(F.max_by(F.struct(px.alias("px"), py.alias("py")), "nth").alias("p")).select("video_path", "frame_index", "landmark_index", "p.px", "p.py")
+    """Pixels of the first pose's landmarks that lie in the picture; the last of equal indexes. A record is a frame."""
+    return records.select("video_path", "frame_index", F.inline(_placed(width, height)))
+
+
+def _placed(width: int, height: int) -> Column:
+    """The record's points in the picture: landmark_index, px, py."""
+
+    def pixel(v, size):
+        return half_even(v * size).cast("int")
+
+    def drawn(x):
+        return x["x"].between(0, 1) & x["y"].between(0, 1)
+
+    inside = F.filter(first_pose(F.col("pose_landmarks")), drawn)
+    points = F.transform(inside, lambda x, i: F.struct(i.alias("nth"), x["landmark_index"].alias("landmark_index"), pixel(x["x"], width).alias("px"), pixel(x["y"], height).alias("py")))
+    last = F.filter(points, lambda p: ~F.exists(points, lambda q: (q["nth"] > p["nth"]) & q["landmark_index"].eqNullSafe(p["landmark_index"])))
+    return F.transform(last, lambda p: F.struct(p["landmark_index"].alias("landmark_index"), p["px"].alias("px"), p["py"].alias("py")))
+
+
+def record_edges(records: DataFrame, width: int, height: int) -> DataFrame:
+    """The skeleton's lines of every record, inside the record: nothing is joined or shuffled."""
+    known = F.filter(_placed(width, height), lambda p: p["landmark_index"].isNotNull())
+    at = F.map_from_entries(F.transform(known, lambda p: F.struct(p["landmark_index"], p)))
+    lines = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SKELETON])
+    r = records.select("video_path", "frame_index", at.alias("_at"))
+    ends = F.transform(lines, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), F.element_at("_at", e["a"]).alias("p"), F.element_at("_at", e["b"]).alias("q")))
+    r = r.select("video_path", "frame_index", F.explode(F.filter(ends, lambda e: e["p"].isNotNull() & e["q"].isNotNull())).alias("e"))
+    return r.select("video_path", "frame_index", "e.a", "e.b", F.col("e.p.px").alias("ax"), F.col("e.p.py").alias("ay"), F.col("e.q.px").alias("bx"), F.col("e.q.py").alias("by"))
 
 
 def skeleton_edges(points: DataFrame) -> DataFrame:
-    """Lines between points whose both ends are there."""
+    """Lines between points of a table whose both ends are there."""
     edges = points.sparkSession.createDataFrame(list(SKELETON), "a int, b int")
     e = F.broadcast(edges)  # 35 rows
     one = points.withColumnRenamed("landmark_index", "a").join(e, "a").withColumnsRenamed({"px": "ax", "py": "ay"})

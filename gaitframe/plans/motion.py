@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaitframe.functions import names, numbers
 from gaitframe.operators import audit, baseline, classify, compare, landmarks, motion, overlay, phases, quality, report
 from gaitframe.schema import METRIC_NAMES
+from gaitframe.sources import sinks
 from gaitframe.sources import stand_ins as s
 
 
@@ -36,8 +37,9 @@ def _features(spark, sf, sparse=False):
 
 
 def _shots(spark, sf):
-    """A row a clip; cached, since comparisons and neighbours read it several times."""
-    return baseline.shot_summary(_features(spark, sf, True), s.manifest(spark, sf)).cache()
+    """A row a clip; a checkpoint where there is a folder for one, since comparisons and neighbours read it several times."""
+    shots = baseline.shot_summary(_features(spark, sf, True), s.manifest(spark, sf))
+    return shots.checkpoint() if spark.sparkContext.getCheckpointDir() else shots
 
 
 def _comparisons(spark, sf):
@@ -54,7 +56,7 @@ def landmark_summary(spark, sf):
 
 
 def frame_quality(spark, sf):
-    return rounded(quality.frame_quality(s.pose_records(spark, sf, True)).drop("source_video_path"))
+    return rounded(quality.frame_quality(s.pose_records(spark, sf, True)))
 
 
 def clip_quality_summary(spark, sf):
@@ -156,12 +158,11 @@ def metric_status(spark, sf):
 
 def comparison_status(spark, sf):
     shots = _shots(spark, sf)
-    return compare.shot_status(shots, compare.metric_comparisons(shots, baseline.distributions(shots)), baseline.type_counts(shots)).drop("note")
+    return compare.shot_status(shots, compare.metric_comparisons(shots, baseline.distributions(shots)), baseline.type_counts(shots))
 
 
 def report_rows(spark, sf):
-    rows = report.report_rows(_comparisons(spark, sf))
-    return rows.select("shot_id", "metric", "short_name", "status")
+    return report.report_rows(_comparisons(spark, sf))
 
 
 def _doc_manifest(spark, sf):
@@ -253,7 +254,7 @@ def pixel_points(spark, sf):
 
 
 def skeleton_edges(spark, sf):
-    e = overlay.skeleton_edges(overlay.pixel_points(s.pose_records(spark, sf), 640, 360))
+    e = overlay.record_edges(s.pose_records(spark, sf), 640, 360)
     return e.select(names.video_id(F.col("video_path")).alias("video_id"), "frame_index", "a", "b", "ax", "ay", "bx", "by")
 
 
@@ -275,8 +276,46 @@ def clip_scalars(spark, sf):
 def cards(spark, sf):
     shots = _shots(spark, sf)
     status = compare.shot_status(shots, compare.metric_comparisons(shots, baseline.distributions(shots)), baseline.type_counts(shots))
-    out = report.cards(status, quality.clip_quality(quality.frame_quality(s.pose_records(spark, sf, True)), "video_id"))
-    return out.drop("mean_frame_quality")
+    return report.cards(status, quality.clip_quality(quality.frame_quality(s.pose_records(spark, sf, True)), "video_id"))
+
+
+def baseline_table(spark, sf):
+    return baseline.baseline_table(_shots(spark, sf))
+
+
+def baseline_manifest(spark, sf):
+    m = s.manifest(spark, sf).select(F.col("shot_id").alias("video_id"), F.concat(F.lit("/data/features/"), "movement_features_csv").alias("features_path"))
+    return baseline.baseline_manifest(m, "/data/baselines/demo", "sample_mixed")
+
+
+def relative_paths(spark, sf):
+    p = s.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+:/(/[^?#]*)", 1).alias("path"))
+    start = F.regexp_extract("path", r"^(/[^/]*)", 1)
+    return p.select("page_id", names.relative_path(F.col("path"), F.concat(start, F.lit("/a"))).alias("relative"), names.shown_path(F.col("path"), start).alias("shown"))
+
+
+def feature_chart(spark, sf):
+    return rounded(report.feature_chart(_features(spark, sf, True)), 4)
+
+
+def rate_chart(spark, sf):
+    return report.rate_chart(audit.audit_rows(s.clips(spark, sf)))
+
+
+def comparison_documents(spark, sf):
+    """The documents of ``sinks.comparison_document``, read back: what each holds of its metrics."""
+    shots = _shots(spark, sf)
+    metrics = compare.metric_comparisons(shots, baseline.distributions(shots))
+    docs = sinks.comparison_document(compare.shot_status(shots, metrics, baseline.type_counts(shots)), metrics, "summary.json", "profile.json")
+    d = docs.select("shot_id", F.from_json("document", "comparison_status string, comparable_metrics long, metric_comparisons array<struct<metric string, status string>>, source_paths struct<baseline_profile_path string>").alias("d"))
+    return d.select("shot_id", "d.comparison_status", "d.comparable_metrics", F.inline("d.metric_comparisons"), "d.source_paths.baseline_profile_path")
+
+
+def demo_summary(spark, sf):
+    rows = audit.audit_rows(s.clips(spark, sf))
+    best = audit.best_clips(rows)
+    paths = {k: v for k, v in report.artifact_paths("/demo", "clip", "real").items() if k in ("comparison_json", "baseline_manifest")}
+    return sinks.demo_summary(best, s.manifest(spark, sf), paths).drop("limitation")
 
 
 def manifest_evidence(spark, sf):
@@ -288,4 +327,5 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     frame_motion, key_frames, phase_timeline, phase_timeline_sparse, phase_summary, phase_counts, movement_features, movement_summary, shot_summary, baseline_distribution, baseline_counts, segment_zscore,
     metric_status, comparison_status, report_rows, label_join, label_unmatched, label_dedupe_first, feature_scaling, loo_nearest, loo_confusion, loo_evaluation, audit_rows, audit_summary, best_clips,
     archive_counts, balanced_sample, first_members, path_labels, json_props, metric_short_name, every_nth_frame, pixel_points, skeleton_edges, frame_states, clip_scalars, cards, manifest_evidence,
+    baseline_table, baseline_manifest, relative_paths, feature_chart, rate_chart, comparison_documents, demo_summary,
 )

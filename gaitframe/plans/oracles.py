@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gaitframe.operators.compare import NOTES
 from gaitframe.schema import LANDMARK_NAMES, METRICS, PHASES, SHOT_CLASSES, SKELETON, TRACKED, UNAVAILABLE
 
 
@@ -129,6 +130,15 @@ FEATURE_COLUMNS = (
 )
 
 
+def _notes() -> str:
+    said = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in NOTES.items())
+    return f"CASE comparison_status {said} END"
+
+
+def _shown(column: str, digits: int = 4) -> str:
+    return f"coalesce(printf('%.{digits}f', {column}), 'N/A')"
+
+
 def sql() -> dict[str, str]:
     metrics = " ".join(m[0] for m in METRICS)
     landmark_names = list(LANDMARK_NAMES)
@@ -146,7 +156,7 @@ def sql() -> dict[str, str]:
             SELECT video_id, frame_index, timestamp_ms, 0 AS pose_index, 'image' AS coordinate_space, landmark_index, {landmark_names}[landmark_index + 1] AS landmark_name, round(e[2 * landmark_index + 1], 6) + 0e0 AS x, round(e[2 * landmark_index + 2], 6) + 0e0 AS y,
                    round(abs(e[2 * landmark_index + 1]), 6) AS visibility, round(abs(e[2 * landmark_index + 2]), 6) AS presence FROM lm""",
         "landmark_summary": "SELECT 'image' AS coordinate_space, count(*) * 32 AS landmark_rows, count(*) AS frames, count(*) AS pose_instances, 'image' AS spaces FROM embeddings",
-        "frame_quality": f"{quality} SELECT video_id, frame_index, timestamp_ms, 1 AS pose_count, true AS has_pose, 32 AS image_landmark_count, 0 AS world_landmark_count, round(32 / 33e0, 6) AS landmark_coverage, round(mv, 6) AS mean_visibility, round(mp, 6) AS mean_presence, round(ok / 32e0, 6) AS coordinate_valid_ratio, round(score, 6) AS frame_quality_score FROM q",
+        "frame_quality": f"{quality} SELECT video_id, 'clips/' || video_id || '.mp4' AS source_video_path, frame_index, timestamp_ms, 1 AS pose_count, true AS has_pose, 32 AS image_landmark_count, 0 AS world_landmark_count, round(32 / 33e0, 6) AS landmark_coverage, round(mv, 6) AS mean_visibility, round(mp, 6) AS mean_presence, round(ok / 32e0, 6) AS coordinate_valid_ratio, round(score, 6) AS frame_quality_score FROM q",
         "clip_quality_summary": f"{quality} SELECT video_id, count(*) AS total_frames_processed, count(*) AS frames_with_pose, 1e0 AS pose_detection_rate, round(avg(score), 5) AS mean_frame_quality_score, round(avg(mv), 5) AS mean_visibility, round(avg(mp), 5) AS mean_presence, round(count(*) FILTER (WHERE score < 0.5) / count(*), 5) AS low_quality_frame_rate FROM q GROUP BY video_id",
         "frame_pivot": f"{_frames(True)} SELECT video_id, frame_index, timestamp_ms, {_r(' '.join(f'x_{n} y_{n}' for n in TRACKED))} FROM fr",
         "joint_angles": f"{_features()} SELECT video_id, frame_index, {_r('left_knee_angle_deg right_knee_angle_deg front_knee_bend_proxy_deg shoulder_hip_separation_proxy_deg', 4)} FROM ft",
@@ -176,8 +186,8 @@ def sql() -> dict[str, str]:
             b AS (SELECT c_mktsegment, avg(value) AS mean, stddev_samp(value) AS std FROM c GROUP BY c_mktsegment), z AS (SELECT c_custkey, c_mktsegment, (value - mean) / nullif(std, 0) AS z, value, mean, std FROM c JOIN b USING (c_mktsegment))
             SELECT c_custkey, c_mktsegment, round(z, 4) + 0e0 AS z_score, CASE WHEN std IS NULL OR std = 0 THEN 'baseline_variance_unavailable' WHEN z > 1 THEN 'above_baseline' WHEN z < -1 THEN 'below_baseline' ELSE 'within_baseline' END AS status FROM z""",
         "metric_status": f"{_shots()} SELECT shot_id, shot_type, metric, baseline_count, status, {_r('shot_value baseline_mean baseline_std delta_from_mean z_score', 4)} FROM cmp",
-        "comparison_status": f"{_shots()} SELECT shot_id, shot_type, usable_frames, comparable_metrics, comparison_status FROM stat",
-        "report_rows": f"{_shots()} SELECT shot_id, cmp.metric, short_name, status FROM cmp JOIN (VALUES {values}) t(metric, short_name) USING (metric)",
+        "comparison_status": f"{_shots()} SELECT shot_id, shot_type, usable_frames, comparable_metrics, comparison_status, {_notes()} AS note FROM stat",
+        "report_rows": f"{_shots()} SELECT shot_id, cmp.metric, short_name, status, '| ' || cmp.metric || ' | ' || {_shown('shot_value')} || ' | ' || {_shown('baseline_mean')} || ' | ' || {_shown('baseline_std')} || ' | ' || status || ' |' AS line FROM cmp JOIN (VALUES {values}) t(metric, short_name) USING (metric)",
         "label_join": "SELECT d.doc_id::VARCHAR AS shot_id, 'q' || quality AS shot_type, 'f/' || d.doc_id AS movement_features_csv FROM documents d LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL) l USING (doc_id)",
         "label_unmatched": "SELECT doc_id::VARCHAR AS shot_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "label_dedupe_first": "SELECT user_id::VARCHAR AS video_id, event_type AS shot_type FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
@@ -206,6 +216,17 @@ def sql() -> dict[str, str]:
             round(CASE WHEN {p} < 0.25::DOUBLE THEN -130 + 25 * ({p} / 0.25::DOUBLE) WHEN {p} < 0.55::DOUBLE THEN -105 + 150 * (({p} - 0.25::DOUBLE) / 0.30::DOUBLE) WHEN {p} < 0.80::DOUBLE THEN 45 + 45 * (({p} - 0.55::DOUBLE) / 0.25::DOUBLE) ELSE 90 - 18 * (({p} - 0.80::DOUBLE) / 0.20::DOUBLE) END, 4) + 0e0 AS bat_angle,
             CASE WHEN {p} < 0.18 THEN 'stance' WHEN {p} < 0.35 THEN 'backlift' WHEN {p} < 0.55 THEN 'downswing' WHEN {p} < 0.62 THEN 'contact_zone' WHEN {p} < 0.85 THEN 'follow_through' ELSE 'recovery' END AS phase,
             chr((72 + i % 8)::INTEGER) || '264' AS codec, printf('frame_%06d.jpg', i) AS file FROM o""",
-        "cards": f"{_shots()} SELECT shot_id, comparison_status, usable_frames::VARCHAR AS usable_motion_frames, '1.000' AS pose_detection_rate FROM stat",
+        "cards": f"""{_shots()}, {quality.removeprefix(f'WITH {_raw(True)}, ')} SELECT shot_id, comparison_status, usable_frames::VARCHAR AS usable_motion_frames, '1.000' AS pose_detection_rate, {_shown('mean', 3)} AS mean_frame_quality
+            FROM stat LEFT JOIN (SELECT video_id, avg(score) AS mean FROM q GROUP BY video_id) ON video_id = shot_id""",
+        "baseline_table": f"{_shots()} SELECT shot_type, count(*) AS manifest_shots, count(*) FILTER (WHERE is_usable) AS usable_shots, (SELECT count(*) FROM dist d WHERE d.shot_type = s.shot_type)::INTEGER AS feature_count FROM shots s GROUP BY shot_type",
+        "baseline_manifest": "SELECT 'clip_' || (vec_id // 10) AS shot_id, 'sample_mixed' AS shot_type, '../../features/clip_' || (vec_id // 10) || '.movement_features.csv' AS movement_features_csv FROM embeddings WHERE vec_id % 10 = 0",
+        "relative_paths": r"""WITH p AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+:/(/[^?#]*)', 1), '/'), lambda x: x NOT IN ('', '.')) AS p FROM pages)
+            SELECT page_id, CASE WHEN p[2] = 'a' THEN coalesce(nullif(array_to_string(p[3:], '/'), ''), '.') ELSE array_to_string(['..'] || p[2:], '/') END AS relative, coalesce(nullif(array_to_string(p[2:], '/'), ''), '.') AS shown FROM p""",
+        "feature_chart": f"{_features()} SELECT video_id, frame_index, {_r('head_displacement_proxy backlift_height_proxy wrist_speed_proxy wrist_path_smoothness_proxy', 4)} FROM ft",
+        "rate_chart": f"{AUDIT} SELECT video_id, shot_type, pose_detection_rate FROM au",
+        "comparison_documents": f"{_shots()} SELECT shot_id, comparison_status, comparable_metrics, metric, status, 'profile.json' AS baseline_profile_path FROM stat JOIN cmp USING (shot_id)",
+        "demo_summary": f"""{AUDIT}, b AS (SELECT * FROM au WHERE status = 'pose_detected' ORDER BY pose_detection_rate DESC, frames_with_pose DESC, video_id LIMIT 1)
+            SELECT video_id AS selected_video_id, shot_type AS selected_shot_type, video_path AS selected_video_path, output_jsonl_path AS selected_pose_jsonl_path, pose_detection_rate AS selected_pose_detection_rate,
+            (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS baseline_video_count, '/demo/data/processed/real/reports/clip_comparison.json' AS comparison_json_path, '/demo/data/processed/real/baselines/real_baseline_manifest.csv' AS baseline_manifest_path FROM b""",
         "manifest_evidence": "SELECT 'ok' AS status, count(*) AS manifest_rows, count(DISTINCT vec_id // 10) AS unique_movement_feature_paths FROM embeddings WHERE vec_id % 10 = 0",
     }

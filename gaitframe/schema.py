@@ -27,6 +27,7 @@ SKELETON = (
 #: Landmarks whose x and y the motion signals need.
 TRACKED = ("nose", "left_wrist", "right_wrist", "left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_knee", "right_knee", "left_ankle", "right_ankle")
 
+# Columns of the landmark table.
 LANDMARK_COLUMNS = ("video_id", "source_video_path", "frame_index", "timestamp_ms", "pose_index", "coordinate_space", "landmark_index", "landmark_name", "x", "y", "z", "visibility", "presence")
 
 # Phases in order, with confidence and reason.
@@ -52,11 +53,18 @@ METRICS = (
 )
 METRIC_NAMES = tuple(m[0] for m in METRICS)
 
+# What a chart of features draws.
+CHART_COLUMNS = ("head_displacement_proxy", "backlift_height_proxy", "wrist_speed_proxy", "wrist_path_smoothness_proxy")
+
+# Clips of each split of the public archive.
+SPLIT_CLIPS = {"train": 1250, "validation": 250, "test": 250}
+
 # Classes, splits and file extensions of the clip archive.
 SHOT_CLASSES = ("cover", "defense", "flick", "hook", "late_cut", "lofted", "pull", "square_cut", "straight", "sweep")
 SPLITS = ("train", "val", "validation", "test")
 VIDEO_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".webm")
 
+# Columns of the feature table, the audit and the manifest.
 FEATURES = T.StructType([T.StructField("video_id", T.StringType()), T.StructField("frame_index", T.IntegerType()), T.StructField("timestamp_ms", T.LongType()), T.StructField("phase", T.StringType()), T.StructField("usable_for_motion", T.BooleanType())] + [
     T.StructField(c, T.DoubleType()) for c in (
         "head_x", "head_y", "head_displacement_proxy", "left_knee_angle_deg", "right_knee_angle_deg", "front_knee_bend_proxy_deg", "shoulder_hip_separation_proxy_deg", "wrist_center_x", "wrist_center_y",

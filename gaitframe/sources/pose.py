@@ -10,7 +10,15 @@ from pyspark.sql import types as T
 
 from gaitframe.functions import names
 from gaitframe.functions.numbers import clean
-from gaitframe.schema import AUDIT, FEATURES, MANIFEST, RECORD
+from gaitframe.schema import AUDIT, FEATURES, MANIFEST, RECORD, SHOT_CLASSES, SPLIT_CLIPS
+
+#: What a user of the archive should know.
+RISKS = (
+    "The clips were gathered to tell shots apart and not to measure bodies.",
+    "Views, covered limbs, blur and small figures make poses fail.",
+    "Look into the archive itself; previews of it may fail.",
+    "What is computed from poses is no coaching advice.",
+)
 
 
 def read_pose_records(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
@@ -90,22 +98,56 @@ def list_videos(spark: SparkSession, folder: str, limit: int | None = None) -> D
     return files if limit is None else files.orderBy("path").limit(limit)
 
 
-def list_archive(spark: SparkSession, path: str) -> DataFrame:
+def list_archive(spark: SparkSession, path: str, whole: int = 1 << 30) -> DataFrame:
     """Members (ordinal, member, size) of a tar archive in their order.
 
     One gzip stream is one task's work; several archives (a glob) are read side by side.
+    Spark hands archives of at most ``whole`` bytes to the task; longer ones are beyond one
+    binary value, so their task reads them as a stream from their file system, in bounded memory.
     """
 
-    def rows(batches):
+    def members(open_one):
+        def rows(batches):
+            import pyarrow as pa
+
+            kinds = (pa.int64(), pa.string(), pa.int64())
+            for b in batches:
+                for value in b.column(0):
+                    with open_one(value.as_py()) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+                        found = []
+                        for i, m in enumerate(tar):
+                            tar.members = []  # a stream needs none of them again
+                            if m.isfile():
+                                found.append((i, m.name, m.size))
+                            if len(found) == 10_000:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["ordinal", "member", "size"])
+                                found = []
+                    cols = list(zip(*found, strict=True)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["ordinal", "member", "size"])
+
+        return rows
+
+    def held(content):
         import io
 
-        import pyarrow as pa
+        return io.BytesIO(content)
+
+    def streamed(uri):
+        from urllib.parse import unquote
+
+        from pyarrow import fs
+
+        if uri.startswith("file:"):
+            return open(unquote(uri.removeprefix("file:")), "rb")
+        system, name = fs.FileSystem.from_uri(uri)
+        return system.open_input_stream(name, compression=None)
+
+    files, schema = spark.read.format("binaryFile").load(path), "ordinal long, member string, size long"
+    short = files.where(F.col("length") <= whole).select("content").mapInArrow(members(held), schema)
+    return short.unionByName(files.where(F.col("length") > whole).select("path").mapInArrow(members(streamed), schema))
 
-        for b in batches:
-            for raw in b.column(0):
-                with tarfile.open(fileobj=io.BytesIO(raw.as_py())) as tar:
-                    found = [(i, m.name, m.size) for i, m in enumerate(tar) if m.isfile()]
-                cols = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["ordinal", "member", "size"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "ordinal long, member string, size long")
+def dataset_info(spark: SparkSession, archive: str, licence: str) -> DataFrame:
+    """One row: what is known of the clip archive before it is read."""
+    row = (archive, licence, "video-classification", list(SHOT_CLASSES), *SPLIT_CLIPS.values(), list(RISKS))
+    return spark.createDataFrame([row], "archive_filename string, license string, task string, expected_classes array<string>, expected_train_samples int, expected_validation_samples int, expected_test_samples int, known_risks array<string>")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaitframe.operators.report import LIMITATION
+
 
 def write_landmarks(landmarks: DataFrame, path: str, buckets: int | None = None) -> None:
     """Landmarks as Parquet, a folder for each of a bounded number of clip buckets."""
@@ -20,8 +22,50 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def _json(value: Column) -> Column:
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
 def baseline_document(distributions: DataFrame, counts: DataFrame) -> DataFrame:
     """One JSON object a shot type: its counts, shot ids and metric distributions by name."""
     per = distributions.groupBy("shot_type").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", F.struct("count", "mean", "std", "min", "max"))))).alias("features"))
     rows = counts.join(per, "shot_type", "left")
-    return rows.select("shot_type", F.to_json(F.struct("manifest_shots", "usable_shots", "features", "shot_ids"), {"ignoreNullFields": "false"}).alias("document"))
+    return rows.select("shot_type", _json(F.struct("manifest_shots", "usable_shots", "features", "shot_ids")).alias("document"))
+
+
+def comparison_document(status: DataFrame, metrics: DataFrame, summary_path: str, baseline_path: str) -> DataFrame:
+    """One JSON object a shot: its status and note, its metrics by name, the sources' paths, the limitation.
+
+    A shot without a baseline of its type has no metrics.
+    """
+    fields = [c for c in metrics.columns if c not in ("shot_id", "shot_type")]
+    per = metrics.groupBy("shot_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_metrics"))  # seven a shot
+    none = F.filter("_metrics", lambda x: F.lit(False))
+    kept = F.when(F.col("comparison_status") == "missing_shot_type_baseline", none).otherwise(F.col("_metrics"))
+    paths = F.struct(F.lit(summary_path).alias("movement_summary_path"), F.lit(baseline_path).alias("baseline_profile_path"))
+    body = F.struct(
+        F.lit(1).alias("version"), "shot_id", "shot_type", "comparison_status", F.array("note").alias("notes"), F.col("usable_frames").alias("usable_motion_frames"), "comparable_metrics",
+        F.coalesce(kept, F.array()).alias("metric_comparisons"), paths.alias("source_paths"), F.lit(LIMITATION).alias("limitation"),
+    )
+    return status.join(per, "shot_id", "left").select("shot_id", _json(body).alias("document"))
+
+
+def classifier_document(evaluation: DataFrame, shots: DataFrame, columns: list[str]) -> DataFrame:
+    """One JSON object: the evaluation, shots by class, the metrics used, the limitation."""
+    sizes = shots.groupBy(F.col("shot_type").cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("c", "n")))).alias("class_counts"))  # a row a class
+    body = F.struct(
+        "evaluation_status", F.lit("leave_one_out_nearest_neighbor_on_movement_proxies").alias("evaluation_method"), "samples", F.map_keys("class_counts").alias("classes"), "class_counts",
+        F.array(*map(F.lit, columns)).cast("array<string>").alias("feature_columns"), "accuracy", F.lit(LIMITATION).alias("limitation"),
+    )
+    return evaluation.join(F.broadcast(sizes)).select(_json(body).alias("document"))  # one row each
+
+
+def demo_summary(best: DataFrame, manifest: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """One row: the selected clip (a row of the audit), the artifacts' paths, clips of the baseline, the limitation."""
+    clips = manifest.agg(F.count(F.lit(1)).alias("baseline_video_count"))
+    picked = best.select(
+        F.col("video_id").alias("selected_video_id"), F.col("shot_type").alias("selected_shot_type"), F.col("video_path").alias("selected_video_path"),
+        F.col("output_jsonl_path").alias("selected_pose_jsonl_path"), F.bround("pose_detection_rate", 4).alias("selected_pose_detection_rate"),
+    ).limit(1)
+    return picked.join(F.broadcast(clips)).select("*", *[F.lit(p).alias(f"{k}_path") for k, p in paths.items()], F.lit(LIMITATION).alias("limitation"))  # one row

@@ -354,3 +354,86 @@ def test_first_videos_by_path(spark, tmp_path):
     for name in ("b.mp4", "a.mov", "c.txt", "d.avi"):
         (tmp_path / name).write_bytes(b"x")
     assert [r.path.rsplit("/", 1)[1] for r in pose.list_videos(spark, str(tmp_path), 2).collect()] == ["a.mov", "b.mp4"]
+
+
+def test_relative_paths(spark):
+    rows = [("/d/f/a.csv", "/d/b", "../f/a.csv", "/d/f/a.csv"), ("/d/b/x/a.csv", "/d/b", "x/a.csv", "x/a.csv"), ("/d/b", "/d/b/", ".", "."), ("/d/./c/../b/a", "/d/b", "a", "a"), ("s3://k/d/a", "/d", "s3://k/d/a", "s3://k/d/a"), ("s3://k/d/a", "s3://k/e", "../d/a", "s3://k/d/a"), ("/d/..x", "/d", "..x", "..x")]
+    df = spark.createDataFrame(rows, "path string, start string, relative string, shown string")
+    got = df.select(names.relative_path(F.col("path"), F.col("start")).alias("r"), names.shown_path(F.col("path"), F.col("start")).alias("s"))
+    assert [(r.r, r.s) for r in got.collect()] == [(x[2], x[3]) for x in rows]
+    m = baseline.baseline_manifest(df.limit(1).select(F.lit("v").alias("video_id"), F.col("path").alias("features_path")), "/d/b", "mixed")
+    assert m.first() == Row(shot_id="v", shot_type="mixed", movement_features_csv="../f/a.csv")
+
+
+def test_negative_frame_is_an_error(spark):
+    with pytest.raises(Exception, match="must not be negative"):
+        spark.range(1).select(numbers.timestamp_ms(F.lit(-1), F.lit(25.0))).collect()
+
+
+def test_charts_and_known_metrics(spark):
+    f = spark.createDataFrame([("v", 1, 0.5), ("v", 0, 0.1)], "video_id string, frame_index int, wrist_speed_proxy double")
+    assert report.feature_chart(f).collect() == [Row(video_id="v", frame_index=0, wrist_speed_proxy=0.1), Row(video_id="v", frame_index=1, wrist_speed_proxy=0.5)]
+    a = spark.createDataFrame([("a", "x", 0.1), ("c", "y", 0.5), ("b", "z", 0.5)], "video_id string, shot_type string, pose_detection_rate double")
+    assert [r.video_id for r in report.rate_chart(a).collect()] == ["b", "c", "a"]
+    s = shots(spark, [("a", "x", (1.0, None, 2.0, None, None, None, None)), ("b", "x", (2.0, None, None, None, None, None, None)), ("c", "y", None)])
+    known = classify.known_metrics(s)
+    assert known == [METRIC_NAMES[0], METRIC_NAMES[2]]
+    points = classify.scaled(s, tuple(known))
+    assert points.columns == ["shot_id", "shot_type", *known]
+    assert {r.shot_id: r.distance for r in classify.nearest(points).collect()} == {r.shot_id: r.distance for r in classify.nearest(classify.scaled(s)).collect()}
+    assert {r.shot_type: (r.manifest_shots, r.usable_shots, r.feature_count) for r in baseline.baseline_table(s.withColumn("is_usable", F.coalesce(*METRIC_NAMES).isNotNull())).collect()} == {"x": (2, 2, 2), "y": (1, 0, 0)}
+
+
+def test_documents(spark):
+    base = spark.createDataFrame([("cover", METRIC_NAMES[0], 2, 0.25, 0.05)], "shot_type string, metric string, count long, mean double, std double")
+    s = shots(spark, [("a", "cover", (0.30, None, None, None, None, None, None)), ("b", "hook", 1.0)]).withColumn("usable_frames", F.lit(10))
+    m = compare.metric_comparisons(s, base)
+    st = compare.shot_status(s, m, spark.createDataFrame([("cover", 3, 3)], "shot_type string, manifest_shots long, usable_shots long"))
+    docs = {r.shot_id: json.loads(r.document) for r in sinks.comparison_document(st, m, "s.json", "p.json").collect()}
+    a, b = docs["a"], docs["b"]
+    assert a["version"] == 1 and a["comparison_status"] == "comparison_available" and len(a["metric_comparisons"]) == 7 and a["notes"] == [compare.NOTES["comparison_available"]] and a["limitation"]
+    assert {x["metric"]: x["status"] for x in a["metric_comparisons"]}[METRIC_NAMES[0]] == "within_baseline" and a["source_paths"]["baseline_profile_path"] == "p.json"
+    assert b["comparison_status"] == "missing_shot_type_baseline" and b["metric_comparisons"] == []
+    c = shots(spark, [("a", "x", 0.0), ("b", "x", 0.1), ("c", "y", 9.0)])
+    doc = json.loads(sinks.classifier_document(classify.evaluation(classify.nearest(classify.scaled(c)), c), c, classify.known_metrics(c)).first().document)
+    assert doc["classes"] == ["x", "y"] and doc["class_counts"] == {"x": 2, "y": 1} and doc["samples"] == 3 and doc["feature_columns"] and doc["evaluation_status"].startswith("insufficient_class")
+    rows = audit.audit_rows(spark.createDataFrame([("test/cover/a.mp4", 30, 10, 3, None)], "relative_path string, frames_seen int, frames_processed int, frames_with_pose int, error string"))
+    got = sinks.demo_summary(audit.best_clips(rows), c, report.artifact_paths("/r", "test_cover_a", "demo")).first()
+    assert (got.selected_video_id, got.selected_pose_detection_rate, got.baseline_video_count) == ("test_cover_a", 0.3, 3) and got.phase_summary_path == "/r/data/processed/demo/features/test_cover_a.phase_summary.json"
+    assert "baseline_manifest" not in report.artifact_paths("/r", "c")
+    with pytest.raises(ValueError):
+        report.artifact_paths("/r", "c", "")
+
+
+def test_cards_fall_back(spark):
+    st = spark.createDataFrame([("a", None, None), ("b", "ok", 4)], "shot_id string, comparison_status string, usable_frames long")
+    q = spark.createDataFrame([("a", 0.5, 0.6)], "video_id string, pose_detection_rate double, mean_frame_quality_score double")
+    moved = spark.createDataFrame([("a", 7), ("b", 9), ("c", 1)], "video_id string, usable_frames long")
+    picked = spark.createDataFrame([("a", 0.5714)], "video_id string, selected_pose_detection_rate double")
+    got = {r.shot_id: tuple(r)[1:] for r in report.cards(st, q, moved, picked).collect()}
+    assert got == {"a": ("unknown", "7", "0.571", "0.600"), "b": ("ok", "4", "N/A", "N/A"), "c": ("missing", "1", "N/A", "N/A")}
+
+
+def test_edges_of_records_are_those_of_points(spark):
+    marks = {n: (0.30 + 0.01 * (i % 5), 0.25 + 0.015 * (i % 7)) for i, n in enumerate(LANDMARK_NAMES)}
+    r = record(0, marks)
+    r["pose_landmarks"][0].append({**r["pose_landmarks"][0][3], "x": 0.9})  # the last of equal indexes counts
+    r["pose_landmarks"][0].append({**r["pose_landmarks"][0][5], "landmark_index": None})
+    df = spark.createDataFrame([r, record(1, {"nose": (0.5, 1.5), "left_eye": (0.1, 1.0), "left_eye_inner": (0.2, 0.1)}), record(2, {}), {**record(3, {}), "pose_landmarks": None}], RECORD)
+    points = overlay.pixel_points(df, 100, 100)
+    assert points.where("frame_index = 0 AND landmark_index = 3").collect()[0].px == 90
+    want = {tuple(x) for x in overlay.skeleton_edges(points).collect()}
+    assert {tuple(x) for x in overlay.record_edges(df, 100, 100).collect()} == want and len(want) == 36
+
+
+def test_archives_beyond_one_value_are_streamed(spark, tmp_path):
+    (tmp_path / "in put").mkdir()
+    for i in range(3):
+        (tmp_path / f"clip{i}.mp4").write_bytes(b"x" * (i + 1))
+    with tarfile.open(tmp_path / "in put/a.tar.gz", "w:gz") as t:
+        for i in range(3):
+            t.add(tmp_path / f"clip{i}.mp4", f"test/cover/clip{i}.mp4")
+    path = str(tmp_path / "in put/a.tar.gz")
+    assert sorted(pose.list_archive(spark, path, whole=0).collect()) == sorted(pose.list_archive(spark, path).collect()) and pose.list_archive(spark, path, whole=0).count() == 3
+    info = pose.dataset_info(spark, "shots.tar.gz", "apache-2.0").first()
+    assert info.expected_train_samples == 1250 and len(info.expected_classes) == 10
