@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gaitframe.llm import charmodel as cm
 from gaitframe.llm.shared import Hashes, byte_slices, few, mix, settle, sums_by_row, words_of
@@ -91,9 +92,13 @@ def _score_key(lang: str | None, half: str) -> str:
     return f"{NO_LANG if lang is None else lang}\x00{half}"
 
 
-def _measured(docs: DataFrame, lower: bool = False) -> DataFrame:
-    """The columns of ``docs`` as c0, c1, ... and the stated measures with the log perplexity a character; written."""
-    names, schema = docs.columns, docs.schema
+def _measured(docs: DataFrame, names: list[str], lower: bool = False) -> DataFrame:
+    """The named columns of ``docs`` as c0, c1, ... and the stated measures with the log perplexity a character; written.
+
+    A task gets each text once: a text that is to be kept is given back from what was scored.
+    """
+    types = [docs.schema[c].dataType for c in names]
+    again = [c.lower() == "text" and isinstance(t, StringType) for c, t in zip(names, types, strict=True)]
     text, lang = F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG))
     other = F.when(_half(text) == "0", "1").otherwise("0")
     counts = cm.count_ngrams(docs.select(F.concat(lang, F.lit("\x00"), _half(text)).alias("key"), text.alias("text")), lower)
@@ -102,7 +107,7 @@ def _measured(docs: DataFrame, lower: bool = False) -> DataFrame:
     asked = settle(counts.select(flip.alias("key"), "gram"), "asked")
     table = cm.resolve(asked, cm.levels(counts), modified=True)
     slices = cm.Slices(table.select(F.col("key").alias("salt"), "gram", F.lit(0).alias("col"), "logp"), 1)
-    kept = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema))
+    kept = ", ".join(f"c{i} {t.simpleString()}" for i, t in enumerate(types))
 
     def make(shared, first):
         def rows(batches):
@@ -113,23 +118,25 @@ def _measured(docs: DataFrame, lower: bool = False) -> DataFrame:
                     sym, chars = cm.symbols(data, off, lower)
                     sums = cm.score(shared.value, sym, chars, np.array([salt[k] for k in keys[lo:hi]], np.uint64))
                     some = [*map(pa.array, measure(data, off)), pa.array(np.diff(chars))] if first else [pa.nulls(hi - lo, pa.int64())] * 6
-                    mine = [c.slice(lo, hi - lo) if first else pa.nulls(hi - lo, c.type) for c in b.columns[: b.num_columns - 3]]
+                    rest = iter(b.columns)
+                    mine = [texts if a else next(rest) for a in again]
+                    mine = [c.slice(lo, hi - lo) if first else pa.nulls(hi - lo, c.type) for c in mine]
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1), pa.int32()), pa.array(sums.ravel()))
                     yield pa.RecordBatch.from_arrays([b.column(b.num_columns - 1).slice(lo, hi - lo), *mine, *some, lists], ["rid", *(f"c{i}" for i in range(len(mine))), *(x.split()[0] for x in MEASURES.split(", "))])
 
         return rows
 
-    laid = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.concat(lang, F.lit("\x00"), other).alias("score_key"), text.alias("score_text"))
+    laid = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if not again[i]], F.concat(lang, F.lit("\x00"), other).alias("score_key"), text.alias("score_text"))
     out = slices.over(laid, make, ", ".join(x for x in (kept, MEASURES) if x), "sums")
     ppl = -F.try_divide(F.col("sums")[0], F.col("n_chars"))
     return settle(out.withColumn("log_ppl", F.coalesce(ppl, F.lit(0.0))).drop("sums"), "quality")
 
 
-def _judged(docs: DataFrame, low: float, high: float, min_words: int, max_repeat: int) -> DataFrame:
-    """What ``_measured`` gives, with base_failed and kept."""
+def _judged(docs: DataFrame, names: list[str], low: float, high: float, min_words: int, max_repeat: int) -> DataFrame:
+    """What ``_measured`` gives, with base_failed and kept; the names hold lang."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    lang = F.coalesce(F.col(f"c{docs.columns.index('lang')}").cast("string"), F.lit(NO_LANG))
-    m = _measured(docs).withColumns({"base_failed": failed, "band_key": lang})
+    lang = F.coalesce(F.col(f"c{names.index('lang')}").cast("string"), F.lit(NO_LANG))
+    m = _measured(docs, names).withColumns({"base_failed": failed, "band_key": lang})
     band = m.where("NOT base_failed").groupBy("band_key").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"))
     width = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.01))
     band = few(band.select("band_key", F.col("q")[1].alias("middle"), width.alias("width")))
@@ -141,11 +148,11 @@ def _judged(docs: DataFrame, low: float, high: float, min_words: int, max_repeat
 def judge(docs: DataFrame, low: float = 5.0, high: float = 5.0, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """doc_id, lang, measures, log_ppl, base_failed and kept of every document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    out = _judged(slim, low, high, min_words, max_repeat)
+    out = _judged(slim, ["doc_id", "lang"], low, high, min_words, max_repeat)
     return out.select(F.col("c0").alias("doc_id"), F.col("c1").alias("lang"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, low: float = 5.0, high: float = 5.0, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """The documents that pass, with their columns as they are; texts are written once and never shuffled."""
-    out = _judged(docs, low, high, min_words, max_repeat).where("kept")
+    out = _judged(docs, docs.columns, low, high, min_words, max_repeat).where("kept")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
