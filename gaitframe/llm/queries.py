@@ -1,4 +1,4 @@
-"""The ten contract queries and their SQL. Each reads its whole table through its operator."""
+"""The thirteen contract queries and their SQL. Each reads its whole table through its operator."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitframe.llm import embed, langid, minhash, mixing, packing, quality, secrets, shards, suffix, warc
-from gaitframe.llm.shared import shared_dir, table
+from gaitframe.llm import embed, extract, langid, middle, minhash, mixing, packing, quality, runs, secrets, shards, suffix, warc
+from gaitframe.llm.shared import WORD, shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -67,10 +67,37 @@ def op10_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts repeat a stretch of their words from some word on to their end, as the contract says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), F.floor(h / 10).cast("long").alias("g"))
+    listed = chosen.withColumn("words", F.when(F.col("chosen"), F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)))
+    sized = listed.withColumn("n", F.size("words")).where("n > 0")
+    at = sized.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    at = at.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), F.col("n") - F.col("a"))
+    made = at.select("doc_id", F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), rest), " ").alias("text"))
+    return made.unionByName(listed.where(~F.coalesce("chosen", F.lit(False)) | (F.coalesce(F.size("words"), F.lit(0)) <= 0)).select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(_made_periodic(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_warc_salvage, op5_language_id, op6_suffix_dedup, op7_byte_shards, op8_source_mix, op9_minhash_dedup, op10_multi_index_dedup)
+        for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_warc_salvage, op5_language_id, op6_suffix_dedup, op7_byte_shards, op8_source_mix, op9_minhash_dedup, op10_multi_index_dedup, op11_fill_in_middle, op12_html_extraction, op13_periodic_runs)
     }
 
 
@@ -98,4 +125,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target,
                    (size * (floor(coalesce(rate, 0)) + CASE WHEN drawn < coalesce(rate, 0) - floor(coalesce(rate, 0)) THEN 1 ELSE 0 END))::BIGINT AS taken
             FROM r""",
+        "op11_fill_in_middle": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+            h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+            c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS z,
+                  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+            o AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:z], ''), '') AS mid, coalesce(array_to_string(u[z + 1:n], ''), '') AS suf FROM c)
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+                   sha256(t) AS restored_sha256
+            FROM o""",
     }
