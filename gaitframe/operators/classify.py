@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitframe.functions.numbers import number
+from gaitframe.operators import neighbours
 from gaitframe.schema import METRIC_NAMES
 
-#: Rows that one block of the neighbour search holds.
-BLOCK = 1024
-
 
 def first_labels(audit: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """One label a clip: the first by ``ordinal`` among rows with clip and type."""
@@ -52,27 +50,9 @@ def scaled(shots: DataFrame, columns: tuple[str, ...] = METRIC_NAMES) -> DataFra
     return both.select("shot_id", "shot_type", *[F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.coalesce(F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias(c) for c in columns])
 
 
-def nearest(points: DataFrame, columns: tuple[str, ...] = METRIC_NAMES, block: int = BLOCK) -> DataFrame:
-    """Every shot's nearest other shot by Euclidean distance, the smaller shot_id on ties.
-
-    Points lie in blocks of about ``block`` rows, each an array. A query meets every
-    block by an equal key and leaves one candidate there, so rows grow by the number of
-    blocks and not of pairs.
-    """
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    p = points.select("shot_id", "shot_type", F.array(*[F.col(c).cast("double") for c in columns if c in points.columns]).cast("array<double>").alias("v"))
-    held = p.groupBy(F.pmod(F.xxhash64("shot_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("shot_id", "shot_type", "v")).alias("members"))
-    asks = p.select("shot_id", F.col("shot_type").alias("true_shot_type"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
-
-    def far(a, b):
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-    met = asks.join(held, "b")
-    others = F.filter("members", lambda m: m["shot_id"] != F.col("shot_id"))
-    best = F.array_min(F.transform(others, lambda m: F.struct(far(m["v"], F.col("v")).alias("distance"), m["shot_id"].alias("id"), m["shot_type"].alias("type"))))
-    found = met.select("shot_id", "true_shot_type", best.alias("m")).groupBy("shot_id", "true_shot_type").agg(F.min("m").alias("m"))
-    return found.where("m IS NOT NULL").select("shot_id", "true_shot_type", F.col("m.type").alias("predicted_shot_type"), F.col("m.id").alias("nearest_neighbor_shot_id"), F.col("m.distance").alias("distance"))
+def nearest(points: DataFrame, columns: tuple[str, ...] = METRIC_NAMES) -> DataFrame:
+    """Every shot's nearest other shot by Euclidean distance, the smaller shot_id on ties (``neighbours`` skips what is too far)."""
+    return neighbours.nearest(points, columns).drop("compared")
 
 
 def confusion(predictions: DataFrame, shots: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Frame signals of clips: pivot of tracked landmarks, then lags over each clip's frames.
 
-The pivot is one aggregate by frame (partial sums first), the signals are windows by
-clip; a clip's frames are what one window holds, and Spark spills them if it must.
+Records are pivoted in place, landmark tables by one aggregate by frame (partial sums
+first). The signals are windows by clip; a clip's frames are what one window holds, and
+Spark spills them if it must.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gaitframe.functions import names
 from gaitframe.functions.numbers import angle, angle_difference, clean, line_angle, row_mean
-from gaitframe.schema import FEATURES, TRACKED
+from gaitframe.operators.landmarks import first_pose
+from gaitframe.schema import FEATURES, LANDMARK_NAMES, TRACKED
 
 
 def by_frame() -> WindowSpec:
@@ -36,6 +39,24 @@ def pivot_frames(landmarks: DataFrame) -> DataFrame:
     return rows.groupBy("video_id", "frame_index", "timestamp_ms").agg(*cells)
 
 
+def pivot_records(records: DataFrame, *more: str) -> DataFrame:
+    """The same as ``pivot_frames``, out of nested records with one a frame (see ``last_by_frame``), and more of their columns.
+
+    Each cell is looked up in the record's own first pose, so nothing is exploded or
+    shuffled, and columns that no cell needs are not read.
+    """
+    pose = first_pose(F.col("pose_landmarks"))
+    number = {name: i for i, name in enumerate(LANDMARK_NAMES)}
+
+    def cell(name: str, axis: str) -> Column:
+        return F.get(F.filter(F.col("_pose"), lambda m: (m["landmark_index"] == number[name]) & clean(m[axis]).isNotNull()), F.lit(0))[axis].alias(f"{axis}_{name}")
+
+    rows = records.select(names.video_id(F.col("video_path")).alias("video_id"), "frame_index", "timestamp_ms", *more, pose.alias("_pose"))
+    rows = rows.where("video_id IS NOT NULL AND frame_index IS NOT NULL AND timestamp_ms IS NOT NULL")
+    rows = rows.where(F.exists("_pose", lambda m: F.coalesce(clean(m["x"]), clean(m["y"])).isNotNull()))
+    return rows.select("video_id", "frame_index", "timestamp_ms", *more, *[cell(name, axis) for name in TRACKED for axis in "xy"])
+
+
 def elapsed(window: WindowSpec | None = None, time: str = "timestamp_ms", frame: str = "frame_index") -> Column:
     """Seconds since the frame before; by 24 frames a second where time does not rise."""
     window = window or by_frame()

@@ -10,6 +10,10 @@ from gaitframe.schema import CHART_COLUMNS, METRIC_NAMES
 
 #: The closing words of a report.
 LIMITATION = "Metrics are two-dimensional proxies from detected poses; they describe signals and are no coaching, medical or injury advice."
+#: The closing words of a baseline.
+BASELINE_LIMITATION = "Baselines describe the listed clips only; they are neither norms of a population nor standards to train by."
+#: What the dashboard's modes call their demo.
+MODES = {"real": "real_demo", "synthetic": None}
 
 
 def report_rows(metrics: DataFrame) -> DataFrame:
@@ -74,6 +78,13 @@ def cards(status: DataFrame, quality: DataFrame, movement: DataFrame | None = No
     )
 
 
+def mode_paths(root: str, clip: str, mode: str) -> dict[str, str]:
+    """``artifact_paths`` of a mode of the dashboard; another mode is an error."""
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode} (there are {', '.join(MODES)})")
+    return artifact_paths(root, clip, MODES[mode])
+
+
 def artifact_paths(root: str, clip: str, demo: str | None = None) -> dict[str, str]:
     """Where a clip's artifacts lie under a folder: those of a demo of that name, or of single steps.
 
@@ -84,7 +95,7 @@ def artifact_paths(root: str, clip: str, demo: str | None = None) -> dict[str, s
     data = f"{root}/data/processed" + (f"/{demo}" if demo else "")
     features, reports = f"{data}/features/{clip}", f"{data}/reports/{clip}"
     out = {
-        "overlay_video": f"{root}/outputs/{demo or 'sample_overlays'}/{clip}_pose_overlay.mp4", "report_markdown": f"{reports}_report.md", "comparison_json": f"{reports}_comparison.json",
+        "landmark_parquet": f"{data}/landmarks/{clip}.landmarks.parquet", "overlay_video": f"{root}/outputs/{demo or 'sample_overlays'}/{clip}_pose_overlay.mp4", "report_markdown": f"{reports}_report.md", "comparison_json": f"{reports}_comparison.json",
         "report_chart": f"{reports}_metric_comparison.png", "pose_quality_summary": f"{features}.pose_quality_summary.json", "pose_quality_csv": f"{features}.pose_quality.csv",
         "phase_summary": f"{features}.phase_summary.json", "phase_timeline_csv": f"{features}.phase_timeline.csv", "movement_summary": f"{features}.movement_summary.json",
         "movement_features_csv": f"{features}.movement_features.csv", "baseline_profile": f"{data}/baselines/{demo or 'sample'}_baseline_profile.json",

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from gaitframe.functions import names, numbers
 from gaitframe.operators import audit, baseline, classify, compare, landmarks, motion, overlay, phases, quality, report
-from gaitframe.schema import METRIC_NAMES
 from gaitframe.sources import sinks
 from gaitframe.sources import stand_ins as s
+from gaitframe.sources.folders import new_folder
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -24,7 +24,7 @@ def _table(spark, sf, sparse=False):
 
 
 def _frames(spark, sf, sparse=False):
-    return motion.pivot_frames(_table(spark, sf, sparse))
+    return motion.pivot_records(s.pose_records(spark, sf, sparse))
 
 
 def _timeline(spark, sf, sparse=False):
@@ -32,7 +32,7 @@ def _timeline(spark, sf, sparse=False):
 
 
 def _features(spark, sf, sparse=False):
-    """Phases and features in one pass: one shuffle by frame, one by clip."""
+    """Phases and features in one pass with one shuffle, by clip."""
     return motion.movement_features(phases.with_phases(motion.with_motion(_frames(spark, sf, sparse))))
 
 
@@ -48,7 +48,7 @@ def _comparisons(spark, sf):
 
 
 def landmark_explode(spark, sf):
-    return rounded(_table(spark, sf, True).drop("source_video_path", "ordinal", "z"))
+    return rounded(_table(spark, sf, True).drop("ordinal"))
 
 
 def landmark_summary(spark, sf):
@@ -67,6 +67,17 @@ def frame_pivot(spark, sf):
     return rounded(_frames(spark, sf, True))
 
 
+def frame_pivot_of_table(spark, sf):
+    return rounded(motion.pivot_frames(_table(spark, sf, True)))
+
+
+def phase_timeline_of_table(spark, sf):
+    """Phases out of a landmark table in buckets by clip, which needs no exchange."""
+    path = new_folder(spark, "landmarks")
+    table = sinks.write_landmark_table(_table(spark, sf, True), path.rpartition("/")[2].replace("-", "_"), path=path)
+    return rounded(phases.phase_timeline(motion.frame_motion(motion.pivot_frames(table))))
+
+
 def joint_angles(spark, sf):
     f = motion.joint_angles(_frames(spark, sf, True))
     return rounded(f.select("video_id", "frame_index", "left_knee_angle_deg", "right_knee_angle_deg", "front_knee_bend_proxy_deg", "shoulder_hip_separation_proxy_deg"), 4)
@@ -140,6 +151,26 @@ def baseline_distribution(spark, sf):
     return rounded(baseline.distributions(_shots(spark, sf)), 4)
 
 
+def baseline_merged(spark, sf):
+    """The distributions out of moments that were added clip group by clip group (three, by the clip's number)."""
+    path = new_folder(spark, "moments")
+    shots = _shots(spark, sf)
+    for part in range(3):
+        baseline.add_clips(shots.where(F.pmod(F.regexp_extract("shot_id", r"(\d+)$", 1).cast("long"), F.lit(3)) == part), path)
+    return rounded(baseline.distributions_of(baseline.stored(spark, path)), 4)
+
+
+def baseline_profile(spark, sf):
+    """The one document of the baseline, read back: its head, and what it holds of each type and metric."""
+    shots = _shots(spark, sf)
+    doc = sinks.profile_document(shots, baseline.distributions(shots), baseline.type_counts(shots), "manifest.csv")
+    stats = "struct<count: long, mean: double, std: double, min: double, max: double>"
+    shape = f"baseline_version string, total_manifest_rows long, usable_shots long, shot_types map<string, struct<manifest_shots: long, usable_shots: long, features: map<string, {stats}>, shot_ids: array<string>>>, shot_summaries array<struct<shot_id: string, is_usable: boolean, metrics: map<string, double>>>, limitation string, source_manifest_path string"
+    d = doc.select(F.from_json("document", shape).alias("d")).select("d.*", F.size("d.shot_summaries").alias("summaries"), F.size(F.filter("d.shot_summaries", lambda x: x["is_usable"])).alias("usable_summaries"))
+    d = d.select("*", F.explode("shot_types").alias("shot_type", "t")).select("*", F.explode("t.features").alias("metric", "f"))
+    return rounded(d.select("baseline_version", "total_manifest_rows", "usable_shots", "summaries", "usable_summaries", "limitation", "source_manifest_path", "shot_type", F.col("t.manifest_shots").alias("type_shots"), F.size("t.shot_ids").alias("type_ids"), "metric", "f.count", "f.mean", "f.std", "f.min", "f.max"), 4)
+
+
 def baseline_counts(spark, sf):
     return baseline.type_counts(_shots(spark, sf)).withColumn("shot_ids", F.array_join("shot_ids", ","))
 
@@ -158,7 +189,7 @@ def metric_status(spark, sf):
 
 def comparison_status(spark, sf):
     shots = _shots(spark, sf)
-    return compare.shot_status(shots, compare.metric_comparisons(shots, baseline.distributions(shots)), baseline.type_counts(shots))
+    return compare.shot_status(shots, compare.metric_comparisons(shots, baseline.distributions(shots)), baseline.type_counts(shots)).drop("rows")
 
 
 def report_rows(spark, sf):
@@ -237,7 +268,8 @@ def json_props(spark, sf):
 
 
 def metric_short_name(spark, sf):
-    return spark.createDataFrame([(m,) for m in METRIC_NAMES], "metric string").select("metric", names.short_metric(F.col("metric")).alias("short_name"))
+    rows = baseline.metric_rows(_shots(spark, sf))
+    return rows.groupBy("metric", names.short_metric(F.col("metric")).alias("short_name")).agg(F.count("value").alias("shots"))
 
 
 def every_nth_frame(spark, sf):
@@ -303,19 +335,22 @@ def rate_chart(spark, sf):
 
 
 def comparison_documents(spark, sf):
-    """The documents of ``sinks.comparison_document``, read back: what each holds of its metrics."""
+    """The documents of ``sinks.comparison_document``, read back: their head, and a row for each of their metrics."""
     shots = _shots(spark, sf)
     metrics = compare.metric_comparisons(shots, baseline.distributions(shots))
     docs = sinks.comparison_document(compare.shot_status(shots, metrics, baseline.type_counts(shots)), metrics, "summary.json", "profile.json")
-    d = docs.select("shot_id", F.from_json("document", "comparison_status string, comparable_metrics long, metric_comparisons array<struct<metric string, status string>>, source_paths struct<baseline_profile_path string>").alias("d"))
-    return d.select("shot_id", "d.comparison_status", "d.comparable_metrics", F.inline("d.metric_comparisons"), "d.source_paths.baseline_profile_path")
+    entry = "struct<metric: string, shot_value: double, baseline_mean: double, baseline_std: double, baseline_count: long, delta_from_mean: double, z_score: double, status: string, interpretation: string>"
+    head = "comparison_version string, baseline_version string, shot_id string, shot_type string, comparison_status string, notes array<string>, movement_rows long, usable_motion_frames long, comparable_metrics long, limitation string"
+    d = docs.select(F.from_json("document", f"{head}, metric_comparisons array<{entry}>, source_paths struct<movement_summary_path: string, baseline_profile_path: string>").alias("d"))
+    flat = d.select(*[f"d.{x.split()[0]}" for x in head.split(", ")], "d.source_paths.*", F.inline("d.metric_comparisons"))
+    return rounded(flat.withColumn("notes", F.array_join("notes", "|")), 4)
 
 
 def demo_summary(spark, sf):
     rows = audit.audit_rows(s.clips(spark, sf))
     best = audit.best_clips(rows)
-    paths = {k: v for k, v in report.artifact_paths("/demo", "clip", "real").items() if k in ("comparison_json", "baseline_manifest")}
-    return sinks.demo_summary(best, s.manifest(spark, sf), paths).drop("limitation")
+    paths = {k: v for k, v in report.artifact_paths("/demo", "clip", "real").items() if k in ("comparison_json", "baseline_manifest", "landmark_parquet")}
+    return sinks.demo_summary(best, s.manifest(spark, sf), paths)
 
 
 def manifest_evidence(spark, sf):
@@ -327,5 +362,5 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     frame_motion, key_frames, phase_timeline, phase_timeline_sparse, phase_summary, phase_counts, movement_features, movement_summary, shot_summary, baseline_distribution, baseline_counts, segment_zscore,
     metric_status, comparison_status, report_rows, label_join, label_unmatched, label_dedupe_first, feature_scaling, loo_nearest, loo_confusion, loo_evaluation, audit_rows, audit_summary, best_clips,
     archive_counts, balanced_sample, first_members, path_labels, json_props, metric_short_name, every_nth_frame, pixel_points, skeleton_edges, frame_states, clip_scalars, cards, manifest_evidence,
-    baseline_table, baseline_manifest, relative_paths, feature_chart, rate_chart, comparison_documents, demo_summary,
+    frame_pivot_of_table, phase_timeline_of_table, baseline_merged, baseline_profile, baseline_table, baseline_manifest, relative_paths, feature_chart, rate_chart, comparison_documents, demo_summary,
 )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from gaitframe.operators.compare import NOTES
-from gaitframe.schema import LANDMARK_NAMES, METRICS, PHASES, SHOT_CLASSES, SKELETON, TRACKED, UNAVAILABLE
+from gaitframe.operators.compare import INTERPRETATIONS, NOT_LISTED, NOTES
+from gaitframe.operators.report import BASELINE_LIMITATION, LIMITATION
+from gaitframe.schema import BASELINE_VERSION, COMPARISON_VERSION, LANDMARK_NAMES, METRICS, PHASES, SHOT_CLASSES, SKELETON, TRACKED, UNAVAILABLE
 
 
 def _mean(a: str, b: str) -> str:
@@ -135,6 +136,11 @@ def _notes() -> str:
     return f"CASE comparison_status {said} END"
 
 
+def _interpretations() -> str:
+    said = " ".join(f"WHEN status = '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in INTERPRETATIONS.items())
+    return f"CASE WHEN status = 'baseline_metric_unavailable' AND baseline_count = 0 THEN '{NOT_LISTED}' {said} END"
+
+
 def _shown(column: str, digits: int = 4) -> str:
     return f"coalesce(printf('%.{digits}f', {column}), 'N/A')"
 
@@ -153,12 +159,13 @@ def sql() -> dict[str, str]:
     return {
         "phase_profile": f"{_timeline(False)} SELECT phase, count(*) AS frames, round(avg(hh), 6) + 0e0 AS mean_height, count(*) FILTER (WHERE is_contact_proxy) AS contacts FROM tl GROUP BY phase",
         "landmark_explode": f"""WITH {_raw(True)}, lm AS (SELECT video_id, frame_index, timestamp_ms, unnest(range(0, 32))::INTEGER AS landmark_index, e FROM raw)
-            SELECT video_id, frame_index, timestamp_ms, 0 AS pose_index, 'image' AS coordinate_space, landmark_index, {landmark_names}[landmark_index + 1] AS landmark_name, round(e[2 * landmark_index + 1], 6) + 0e0 AS x, round(e[2 * landmark_index + 2], 6) + 0e0 AS y,
+            SELECT video_id, 'clips/' || video_id || '.mp4' AS source_video_path, NULL::DOUBLE AS z, frame_index, timestamp_ms, 0 AS pose_index, 'image' AS coordinate_space, landmark_index, {landmark_names}[landmark_index + 1] AS landmark_name, round(e[2 * landmark_index + 1], 6) + 0e0 AS x, round(e[2 * landmark_index + 2], 6) + 0e0 AS y,
                    round(abs(e[2 * landmark_index + 1]), 6) AS visibility, round(abs(e[2 * landmark_index + 2]), 6) AS presence FROM lm""",
         "landmark_summary": "SELECT 'image' AS coordinate_space, count(*) * 32 AS landmark_rows, count(*) AS frames, count(*) AS pose_instances, 'image' AS spaces FROM embeddings",
         "frame_quality": f"{quality} SELECT video_id, 'clips/' || video_id || '.mp4' AS source_video_path, frame_index, timestamp_ms, 1 AS pose_count, true AS has_pose, 32 AS image_landmark_count, 0 AS world_landmark_count, round(32 / 33e0, 6) AS landmark_coverage, round(mv, 6) AS mean_visibility, round(mp, 6) AS mean_presence, round(ok / 32e0, 6) AS coordinate_valid_ratio, round(score, 6) AS frame_quality_score FROM q",
         "clip_quality_summary": f"{quality} SELECT video_id, count(*) AS total_frames_processed, count(*) AS frames_with_pose, 1e0 AS pose_detection_rate, round(avg(score), 5) AS mean_frame_quality_score, round(avg(mv), 5) AS mean_visibility, round(avg(mp), 5) AS mean_presence, round(count(*) FILTER (WHERE score < 0.5) / count(*), 5) AS low_quality_frame_rate FROM q GROUP BY video_id",
         "frame_pivot": f"{_frames(True)} SELECT video_id, frame_index, timestamp_ms, {_r(' '.join(f'x_{n} y_{n}' for n in TRACKED))} FROM fr",
+        "frame_pivot_of_table": f"{_frames(True)} SELECT video_id, frame_index, timestamp_ms, {_r(' '.join(f'x_{n} y_{n}' for n in TRACKED))} FROM fr",
         "joint_angles": f"{_features()} SELECT video_id, frame_index, {_r('left_knee_angle_deg right_knee_angle_deg front_knee_bend_proxy_deg shoulder_hip_separation_proxy_deg', 4)} FROM ft",
         "wrist_kinematics": f"{_features()} SELECT video_id, frame_index, {_r('wrist_center_x wrist_center_y wrist_speed_proxy wrist_acceleration_proxy wrist_path_smoothness_proxy', 5)} FROM ft",
         "wrist_kinematics_irregular": f"""{EVENTS}, d AS (SELECT *, timestamp_ms - lag(timestamp_ms) OVER w AS dms, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM ev WINDOW w AS (PARTITION BY video_id ORDER BY frame_index)),
@@ -172,6 +179,7 @@ def sql() -> dict[str, str]:
         "key_frames": f"{_timeline(True)} SELECT video_id, max(n)::BIGINT AS usable, max(apex) AS apex, max(contact) AS contact FROM k GROUP BY video_id",
         "phase_timeline": f"{_timeline(False)} SELECT {TIMELINE} FROM tl",
         "phase_timeline_sparse": f"{_timeline(True)} SELECT {TIMELINE} FROM tl",
+        "phase_timeline_of_table": f"{_timeline(True)} SELECT {TIMELINE} FROM tl",
         "phase_summary": f"{_timeline(True)} SELECT video_id, count(*) AS frames, count(*) FILTER (WHERE phase <> 'unavailable') AS usable_frames, count(*) FILTER (WHERE is_contact_proxy) AS contacts, array_to_string(list_filter({[p[0] for p in PHASES]}, lambda x: list_contains(list(phase), x)), ',') AS phases FROM tl GROUP BY video_id",
         "phase_counts": f"{_timeline(True)} SELECT phase, count(*) AS frames FROM tl GROUP BY phase",
         "movement_features": f"{_features()} SELECT video_id, frame_index, timestamp_ms, phase, usable_for_motion, {_r(FEATURE_COLUMNS, 4)} FROM ft",
@@ -181,11 +189,15 @@ def sql() -> dict[str, str]:
             SELECT video_id, rows, usable_frames, {_r(metrics + ' head_motion_std_proxy', 4)} FROM s""",
         "shot_summary": f"{_shots()} SELECT shot_id, shot_type, rows, usable_frames, is_usable, {_r(metrics, 4)} FROM shots",
         "baseline_distribution": f"{_shots()} SELECT shot_type, metric, count, {_r('mean std min max', 4)} FROM dist",
+        "baseline_merged": f"{_shots()} SELECT shot_type, metric, count, {_r('mean std min max', 4)} FROM dist",
+        "baseline_profile": f"""{_shots()}, a AS (SELECT count(*) AS n, count(*) FILTER (WHERE is_usable) AS u FROM shots), y AS (SELECT shot_type, count(*) AS c FROM shots GROUP BY shot_type)
+            SELECT '{BASELINE_VERSION}' AS baseline_version, a.n AS total_manifest_rows, a.u AS usable_shots, a.n::INTEGER AS summaries, a.u::INTEGER AS usable_summaries, '{BASELINE_LIMITATION}' AS limitation, 'manifest.csv' AS source_manifest_path,
+                   shot_type, y.c AS type_shots, y.c::INTEGER AS type_ids, metric, count, {_r('mean std min max', 4)} FROM dist JOIN y USING (shot_type) CROSS JOIN a""",
         "baseline_counts": f"{_shots()} SELECT shot_type, count(*) AS manifest_shots, count(*) FILTER (WHERE is_usable) AS usable_shots, array_to_string(list_sort(list(shot_id)), ',') AS shot_ids FROM shots GROUP BY shot_type",
         "segment_zscore": """WITH o AS (SELECT o_custkey, avg(o_totalprice) AS value FROM orders GROUP BY o_custkey), c AS (SELECT c_custkey, c_mktsegment, value FROM customer JOIN o ON c_custkey = o_custkey),
             b AS (SELECT c_mktsegment, avg(value) AS mean, stddev_samp(value) AS std FROM c GROUP BY c_mktsegment), z AS (SELECT c_custkey, c_mktsegment, (value - mean) / nullif(std, 0) AS z, value, mean, std FROM c JOIN b USING (c_mktsegment))
             SELECT c_custkey, c_mktsegment, round(z, 4) + 0e0 AS z_score, CASE WHEN std IS NULL OR std = 0 THEN 'baseline_variance_unavailable' WHEN z > 1 THEN 'above_baseline' WHEN z < -1 THEN 'below_baseline' ELSE 'within_baseline' END AS status FROM z""",
-        "metric_status": f"{_shots()} SELECT shot_id, shot_type, metric, baseline_count, status, {_r('shot_value baseline_mean baseline_std delta_from_mean z_score', 4)} FROM cmp",
+        "metric_status": f"{_shots()} SELECT shot_id, shot_type, metric, baseline_count, status, {_interpretations()} AS interpretation, {_r('shot_value baseline_mean baseline_std delta_from_mean z_score', 4)} FROM cmp",
         "comparison_status": f"{_shots()} SELECT shot_id, shot_type, usable_frames, comparable_metrics, comparison_status, {_notes()} AS note FROM stat",
         "report_rows": f"{_shots()} SELECT shot_id, cmp.metric, short_name, status, '| ' || cmp.metric || ' | ' || {_shown('shot_value')} || ' | ' || {_shown('baseline_mean')} || ' | ' || {_shown('baseline_std')} || ' | ' || status || ' |' AS line FROM cmp JOIN (VALUES {values}) t(metric, short_name) USING (metric)",
         "label_join": "SELECT d.doc_id::VARCHAR AS shot_id, 'q' || quality AS shot_type, 'f/' || d.doc_id AS movement_features_csv FROM documents d LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL) l USING (doc_id)",
@@ -206,7 +218,7 @@ def sql() -> dict[str, str]:
             l AS (SELECT *, CASE WHEN len(a) >= 3 THEN a[1] ELSE 'unknown' END AS split, CASE WHEN len(a) >= 3 THEN a[2] WHEN len(a) = 2 THEN a[1] ELSE 'unknown' END AS shot_type FROM q)
             SELECT page_id, split, shot_type, regexp_replace(split || '_' || shot_type || '_' || regexp_replace(a[-1], '^(.+)\.[^.]*$', '\1'), '[^A-Za-z0-9_-]+', '_', 'g') AS video_id FROM l""",
         "json_props": "SELECT event_id, (props->>'$.k')::INTEGER AS k FROM events",
-        "metric_short_name": f"SELECT * FROM (VALUES {values}) t(metric, short_name)",
+        "metric_short_name": f"{_shots()} SELECT long.metric, short_name, count(value) AS shots FROM long JOIN (VALUES {values}) t(metric, short_name) USING (metric) GROUP BY ALL",
         "every_nth_frame": f"{EVENTS} SELECT event_id, video_id, frame_index FROM ev WHERE frame_index % 3 = 0 AND frame_index < 12",
         "pixel_points": f"{PIXELS} SELECT * FROM px",
         "skeleton_edges": f"{PIXELS} SELECT o.video_id, o.frame_index, a, b, o.px AS ax, o.py AS ay, t.px AS bx, t.py AS by FROM (VALUES {edges}) e(a, b) JOIN px o ON o.landmark_index = a JOIN px t ON t.landmark_index = b AND t.video_id = o.video_id AND t.frame_index = o.frame_index",
@@ -224,9 +236,11 @@ def sql() -> dict[str, str]:
             SELECT page_id, CASE WHEN p[2] = 'a' THEN coalesce(nullif(array_to_string(p[3:], '/'), ''), '.') ELSE array_to_string(['..'] || p[2:], '/') END AS relative, coalesce(nullif(array_to_string(p[2:], '/'), ''), '.') AS shown FROM p""",
         "feature_chart": f"{_features()} SELECT video_id, frame_index, {_r('head_displacement_proxy backlift_height_proxy wrist_speed_proxy wrist_path_smoothness_proxy', 4)} FROM ft",
         "rate_chart": f"{AUDIT} SELECT video_id, shot_type, pose_detection_rate FROM au",
-        "comparison_documents": f"{_shots()} SELECT shot_id, comparison_status, comparable_metrics, metric, status, 'profile.json' AS baseline_profile_path FROM stat JOIN cmp USING (shot_id)",
+        "comparison_documents": f"""{_shots()} SELECT '{COMPARISON_VERSION}' AS comparison_version, '{BASELINE_VERSION}' AS baseline_version, stat.shot_id, stat.shot_type, comparison_status, {_notes()} AS notes, shots.rows AS movement_rows, stat.usable_frames AS usable_motion_frames,
+            comparable_metrics, '{LIMITATION}' AS limitation, 'summary.json' AS movement_summary_path, 'profile.json' AS baseline_profile_path, metric, baseline_count, status, {_interpretations()} AS interpretation,
+            {_r('shot_value baseline_mean baseline_std delta_from_mean z_score', 4)} FROM stat JOIN cmp USING (shot_id) JOIN shots USING (shot_id)""",
         "demo_summary": f"""{AUDIT}, b AS (SELECT * FROM au WHERE status = 'pose_detected' ORDER BY pose_detection_rate DESC, frames_with_pose DESC, video_id LIMIT 1)
             SELECT video_id AS selected_video_id, shot_type AS selected_shot_type, video_path AS selected_video_path, output_jsonl_path AS selected_pose_jsonl_path, pose_detection_rate AS selected_pose_detection_rate,
-            (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS baseline_video_count, '/demo/data/processed/real/reports/clip_comparison.json' AS comparison_json_path, '/demo/data/processed/real/baselines/real_baseline_manifest.csv' AS baseline_manifest_path FROM b""",
+            (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS baseline_video_count, '/demo/data/processed/real/reports/clip_comparison.json' AS comparison_json_path, '/demo/data/processed/real/baselines/real_baseline_manifest.csv' AS baseline_manifest_path, '/demo/data/processed/real/landmarks/clip.landmarks.parquet' AS landmark_parquet_path, '{LIMITATION}' AS limitation FROM b""",
         "manifest_evidence": "SELECT 'ok' AS status, count(*) AS manifest_rows, count(DISTINCT vec_id // 10) AS unique_movement_feature_paths FROM embeddings WHERE vec_id % 10 = 0",
     }

@@ -24,7 +24,7 @@ SKELETON = (
     (16, 18), (16, 20), (16, 22), (18, 20), (11, 23), (12, 24), (23, 24), (23, 25), (24, 26), (25, 27), (26, 28), (27, 29), (28, 30), (29, 31), (30, 32), (27, 31), (28, 32),
 )
 
-#: Landmarks whose x and y the motion signals need.
+# Landmarks whose x and y the motion signals need.
 TRACKED = ("nose", "left_wrist", "right_wrist", "left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_knee", "right_knee", "left_ankle", "right_ankle")
 
 # Columns of the landmark table.
@@ -53,6 +53,10 @@ METRICS = (
 )
 METRIC_NAMES = tuple(m[0] for m in METRICS)
 
+# Names of the documents' versions.
+BASELINE_VERSION = "movement_proxy_baseline_v1"
+COMPARISON_VERSION = "shot_vs_baseline_v1"
+
 # What a chart of features draws.
 CHART_COLUMNS = ("head_displacement_proxy", "backlift_height_proxy", "wrist_speed_proxy", "wrist_path_smoothness_proxy")
 

@@ -6,8 +6,8 @@ import tarfile
 
 import pytest
 from gaitframe.functions import names, numbers
-from gaitframe.operators import audit, baseline, classify, compare, landmarks, motion, overlay, phases, quality, report
-from gaitframe.schema import LANDMARK_NAMES, METRIC_NAMES, RECORD, SKELETON
+from gaitframe.operators import audit, baseline, classify, compare, landmarks, motion, neighbours, overlay, phases, quality, report
+from gaitframe.schema import BASELINE_VERSION, COMPARISON_VERSION, LANDMARK_NAMES, METRIC_NAMES, RECORD, SKELETON
 from gaitframe.sources import pose, sinks
 from gaitframe.streaming import frames as streams
 from pyspark.sql import Row
@@ -224,7 +224,7 @@ def test_comparison(spark):
 @pytest.mark.parametrize("block", [1024, 2])
 def test_classifier(spark, block):
     s = shots(spark, [("cover_a", "cover", 0.0), ("cover_b", "cover", 0.1), ("pull_a", "pull", 10.0), ("pull_b", "pull", 10.1)])
-    p = classify.nearest(classify.scaled(s), block=block)
+    p = neighbours.nearest(classify.scaled(s), block=block, pivots=block)
     assert {r.shot_id: r.nearest_neighbor_shot_id for r in p.collect()} == {"cover_a": "cover_b", "cover_b": "cover_a", "pull_a": "pull_b", "pull_b": "pull_a"}
     assert {(r.true_shot_type, r.predicted_shot_type): r.shots for r in classify.confusion(p, s).collect()} == {("cover", "cover"): 2, ("pull", "pull"): 2, ("cover", "pull"): 0, ("pull", "cover"): 0}
     assert classify.evaluation(p, s).first() == Row(evaluation_status="ok", samples=4, classes=2, accuracy=1.0)
@@ -391,7 +391,7 @@ def test_documents(spark):
     st = compare.shot_status(s, m, spark.createDataFrame([("cover", 3, 3)], "shot_type string, manifest_shots long, usable_shots long"))
     docs = {r.shot_id: json.loads(r.document) for r in sinks.comparison_document(st, m, "s.json", "p.json").collect()}
     a, b = docs["a"], docs["b"]
-    assert a["version"] == 1 and a["comparison_status"] == "comparison_available" and len(a["metric_comparisons"]) == 7 and a["notes"] == [compare.NOTES["comparison_available"]] and a["limitation"]
+    assert a["comparison_version"] == COMPARISON_VERSION and a["baseline_version"] == BASELINE_VERSION and a["comparison_status"] == "comparison_available" and len(a["metric_comparisons"]) == 7 and a["notes"] == [compare.NOTES["comparison_available"]] and a["limitation"]
     assert {x["metric"]: x["status"] for x in a["metric_comparisons"]}[METRIC_NAMES[0]] == "within_baseline" and a["source_paths"]["baseline_profile_path"] == "p.json"
     assert b["comparison_status"] == "missing_shot_type_baseline" and b["metric_comparisons"] == []
     c = shots(spark, [("a", "x", 0.0), ("b", "x", 0.1), ("c", "y", 9.0)])
