@@ -77,16 +77,19 @@ def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _made_periodic(docs: DataFrame) -> DataFrame:
-    """doc_id and text; a tenth of the texts repeat a stretch of their words from some word on to their end, as the contract says."""
+    """doc_id and text; a tenth of the texts repeat a stretch of their words from some word on to their end, as the contract says.
+
+    The words are those of null for other texts, so these are neither split nor scanned again.
+    """
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     chosen = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), F.floor(h / 10).cast("long").alias("g"))
     listed = chosen.withColumn("words", F.when(F.col("chosen"), F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)))
-    sized = listed.withColumn("n", F.size("words")).where("n > 0")
-    at = sized.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    sized = listed.withColumn("n", F.coalesce(F.size("words"), F.lit(-1)))
+    at = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
     at = at.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
     rest = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), F.col("n") - F.col("a"))
-    made = at.select("doc_id", F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), rest), " ").alias("text"))
-    return made.unionByName(listed.where(~F.coalesce("chosen", F.lit(False)) | (F.coalesce(F.size("words"), F.lit(0)) <= 0)).select("doc_id", "text"))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), rest), " ")
+    return at.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
