@@ -11,11 +11,14 @@ record counts if its version line, its headers (folded lines too), its length, i
 and its payload digest hold. The digest is in hex or base32 of the algorithm that its
 label names, over the record block or the HTTP payload; one that cannot be checked
 (another algorithm, another size) fails no record. Records and gaps of one gzip member
-carry the member's range; a member that does not unpack is quarantined whole. When a
-check fails it goes on at the next gzip member or version line from which a record can
-be read, and lists the bytes between as quarantined. Each mark is searched for once, so
-an archive of nothing but damage takes linear time. A file has to fit a task and Spark's
-2 GiB for a binary value; a longer one is an error and not a gap.
+carry the member's range. Members are unpacked as a stream, whatever they hold, and as
+far as they go: a damaged one gives its records before the damage, and the rest is a gap.
+When a check fails the reader goes on at the next gzip member or version line from which
+a record can be read, and lists the bytes between as quarantined. Headers are read line
+by line and end at the first bad one, and each mark is searched for once, so an archive
+of nothing but damage takes linear time. A file has to fit a task and Spark's 2 GiB for a
+binary value; a longer one is an error and not a gap. A record of over ``MOST_RECORD``
+bytes, or with a header line of over ``MOST_LINE``, is listed as a gap.
 
 Null html is an empty payload. Pages that share the smallest page_id of a payload are
 all written whole. A null page_id is written whole and read back as null. Extra columns
@@ -36,10 +39,13 @@ from pyspark.sql import functions as F
 from gaitframe.llm.shared import MOST_BROADCAST, settle
 
 SALTS = 16
-#: Bytes that a record's headers, and what a gzip member holds, have at most.
-MOST_HEAD, MOST_MEMBER = 1 << 20, 1 << 30
+#: Bytes of a record's block and of one header line; beyond them it is no value of a row, and quarantined.
+MOST_RECORD, MOST_LINE = 1 << 30, 64 << 20
+#: Bytes of an unpacked member that are held at once, besides one record.
+HELD = 64 << 20
 VERSION = b"WARC/1.1\r\n"
 HEADS = re.compile(rb"WARC/1\.[01]\r\n")
+FIELD = re.compile(rb"([!-9;-~]+)[ \t]*:")
 MARKS = (b"WARC/1.", b"\x1f\x8b\x08")
 RECORDS = "file string, start long, end long, kind string, page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
 
@@ -135,63 +141,186 @@ def _differs(digest: str, body: bytes, whole: bool = False) -> bool:
     return all(hashlib.new(name, x).digest() != want for x in forms)
 
 
-def _parse(raw: bytes, at: int) -> tuple[int, dict]:
-    """The record at ``at`` in plain bytes: its end and fields. ValueError if a check fails."""
-    m = HEADS.match(raw, at)
-    if not m:
-        raise ValueError("no version line")
-    stop = raw.find(b"\r\n\r\n", m.end() - 2, m.end() + MOST_HEAD)
-    if stop < 0:
-        raise ValueError("headers do not end")
-    fields = {}
-    for row in re.sub(rb"\r\n[ \t]+", b" ", raw[m.end() : stop]).split(b"\r\n"):
-        name, sep, value = row.partition(b":")
-        if not sep:
-            raise ValueError("bad header line")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+class _Plain:
+    """Bytes that are there as a whole."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    def get(self, at: int, end: int) -> bytes:
+        return self.raw[at:end]
+
+    def seek(self, mark: bytes, at: int) -> int:
+        return self.raw.find(mark, at, at + MOST_LINE)
+
+
+class _Member:
+    """What a gzip member holds, unpacked as it is read, as far as it goes.
+
+    At its end ``end`` is where its bytes end in the file, and ``reason`` says how it is
+    damaged, if it is. A damaged member gives all that comes before the damage.
+    """
+
+    def __init__(self, raw: bytes, at: int):
+        self.raw, self.at, self.width = memoryview(raw), at, 1 << 16
+        self.unpack, self.pending = zlib.decompressobj(31), b""
+        self.held, self.base = bytearray(), 0
+        self.end, self.reason = -1, ""
+
+    def _more(self) -> bool:
+        """Unpack some more; False if there is none."""
+        while self.end < 0:
+            if not self.pending:
+                self.pending = bytes(self.raw[self.at : self.at + (1 << 16)])
+                self.at += len(self.pending)
+                if not self.pending:
+                    self.end, self.reason = len(self.raw), "member does not end"
+                    break
+            part, rest = self.pending[: self.width], self.pending[self.width :]
+            before = self.unpack.copy()
+            try:
+                out = self.unpack.decompress(part, 1 << 20)
+            except zlib.error as e:
+                if len(part) > 1:  # by halves, up to the damage
+                    self.unpack, self.width = before, len(part) // 2
+                    continue
+                self.end, self.reason = self.at - len(rest), f"bad member: {e}"
+                break
+            self.pending = self.unpack.unconsumed_tail + rest
+            self.held += out
+            if self.unpack.eof:
+                self.end = self.at - len(rest) - len(self.unpack.unused_data)
+            if out:
+                return True
+        return False
+
+    def get(self, at: int, end: int) -> bytes:
+        while self.base + len(self.held) < end and self._more():
+            pass
+        return bytes(self.held[at - self.base : end - self.base])
+
+    def seek(self, mark: bytes, at: int) -> int:
+        """Where ``mark`` stands next; what lies before stays."""
+        seen = at
+        while (i := self.held.find(mark, seen - self.base)) < 0:
+            seen = max(at, self.base + len(self.held) - len(mark) + 1)
+            if seen - at > MOST_LINE or not self._more():
+                return -1
+        return self.base + i
+
+    def find(self, mark: bytes, at: int) -> int:
+        """Where ``mark`` stands next; what lies before is given away."""
+        while (i := self.held.find(mark, at - self.base)) < 0:
+            at = max(at, self.base + len(self.held) - len(mark) + 1)
+            self.forget(at)
+            if not self._more():
+                return -1
+        return self.base + i
+
+    def forget(self, at: int) -> None:
+        if at - self.base > 1 << 20:
+            del self.held[: at - self.base]
+            self.base = at
+
+    def close(self) -> None:
+        """Read what is left, and keep nothing of it."""
+        while self._more():
+            self.base += len(self.held)
+            self.held.clear()
+
+
+class _Bad(ValueError):
+    """A record that can't be read, and how far no record can start inside it."""
+
+    def __init__(self, reason: str, clear: int):
+        super().__init__(reason)
+        self.clear = clear
+
+
+def _parse(src: _Plain | _Member, at: int) -> tuple[int, dict]:
+    """The record at ``at``: its end and fields. _Bad if a check fails.
+
+    Headers are read line by line. A version line within them could only be a part of a
+    value, and would meet the same lines, so the search for the next record starts behind them.
+    """
+    if not HEADS.match(src.get(at, at + 10)):
+        raise _Bad("no version line", at + 1)
+    fields: dict[str, str] = {}
+    name, line = "", at + 10
+    while True:
+        # most lines are short; a long one is looked for further on
+        stop = src.get(line, line + 512).find(b"\r\n")
+        if stop < 0:
+            if not FIELD.match(src.get(line, line + 512)):
+                raise _Bad("bad header line", max(at + 1, line))
+            stop = src.seek(b"\r\n", line)
+            if stop < 0:
+                raise _Bad("headers do not end", max(at + 1, line))
+            stop -= line
+        row = src.get(line, line + stop)
+        if not row:
+            break
+        if row[:1] in b" \t" and name:
+            fields[name] = f"{fields[name]} {row.strip().decode('utf-8', 'replace')}".strip()
+        else:
+            m = FIELD.match(row)
+            if not m:
+                raise _Bad("bad header line", max(at + 1, line))
+            name = m[1].lower().decode("latin-1")
+            fields[name] = row[m.end() :].strip().decode("utf-8", "replace")
+        line += stop + 2
+    start = line + 2
     if not re.fullmatch(r"[0-9]{1,15}", fields.get("content-length", "")):
-        raise ValueError("no length")
-    start = stop + 4
-    end = start + int(fields["content-length"])
-    if raw[end : end + 4] != b"\r\n\r\n":
-        raise ValueError("no end of record")
-    body = raw[start:end]
+        raise _Bad("no length", start)
+    size = int(fields["content-length"])
+    if size > MOST_RECORD:
+        raise _Bad("record is longer than Spark's values", start)
+    end = start + size
+    if src.get(end, end + 4) != b"\r\n\r\n":
+        raise _Bad("no end of record", start)
+    body = src.get(start, end)
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     if fields.get("warc-type") == "response" and _differs(digest, body):
-        raise ValueError("digest differs")
+        raise _Bad("digest differs", start)
     if _differs(fields.get("warc-block-digest", "none:"), body, whole=True):
-        raise ValueError("block digest differs")
+        raise _Bad("block digest differs", start)
     return end + 4, fields | {"body": body, "digest": digest}
 
 
-def _member(raw: bytes, at: int) -> tuple[int, bytes]:
-    """The gzip member at ``at``: its end and what it holds."""
-    d, out, held, view = zlib.decompressobj(31), [], 0, memoryview(raw)
-    try:
-        while not d.eof and at < len(raw):
-            part = view[at : at + 65536]
-            out.append(d.decompress(part))
-            at += len(part)
-            held += len(out[-1])
-            if held > MOST_MEMBER:
-                raise ValueError("member is too long")
-    except zlib.error as e:
-        raise ValueError(f"bad member: {e}") from None
-    if not d.eof:
-        raise ValueError("member does not end")
-    return at - len(d.unused_data), b"".join(out)
-
-
 def _id(value: str | None) -> int | None:
     m = re.fullmatch(r"<urn:page:(-?[0-9]+)>", value or "")
     return int(m[1]) if m else None
 
 
+def _inside(member: _Member):
+    """(fields or None, reason) of the records and gaps of a gzip member, in order."""
+    at, reason = 0, ""
+    while member.get(at, at + 1):
+        try:
+            end, fields = _parse(member, at)
+        except _Bad as e:
+            reason = reason or str(e)
+            at = member.find(MARKS[0], e.clear)
+            if at < 0:
+                break
+            continue
+        if reason:
+            yield None, reason
+        yield fields, ""
+        at, reason = end, ""
+        member.forget(at)
+    member.close()
+    if member.reason or reason:
+        yield None, member.reason or reason
+
+
 def salvage(raw: bytes):
     """Yield (start, end, fields or None, reason): records and quarantined gaps, in order, without holes.
 
-    What one gzip member holds has the member's start and end.
+    What one gzip member holds has the member's start and end; the end of a damaged one is
+    where it breaks off.
     """
+    src = _Plain(raw)
     at = bad = 0
     reason = ""
     ahead = {mark: -1 for mark in MARKS}  # where each mark stands next
@@ -204,23 +333,40 @@ def salvage(raw: bytes):
         return min(ahead.values())
 
     while at < len(raw):
-        try:
-            if raw[at : at + 2] == b"\x1f\x8b":
-                end, plain = _member(raw, at)
-                inside = [(f, why) for _, _, f, why in salvage(plain)]
-                if all(f is None for f, _ in inside):
-                    raise ValueError(inside[0][1] if inside else "empty member")
+        if raw[at : at + 2] == b"\x1f\x8b":
+            member = _Member(raw, at)
+            member.get(0, HELD)
+            if member.end < 0:  # a long one is read to its end, and then again record by record
+                member.close()
+            end, damage = member.end, member.reason
+            found, first = False, ""
+            for fields, said in _inside(member if not member.base else _Member(raw, at)):
+                if not found and fields is None:
+                    first = said
+                    continue
+                if not found:
+                    if bad < at:
+                        yield bad, at, None, reason
+                    if first:
+                        yield at, end, None, first
+                found = True
+                yield at, end, fields, said
+            if found:
+                at = bad = end
+                reason = ""
             else:
-                end, fields = _parse(raw, at)
-                inside = [(fields, "")]
-        except ValueError as e:
+                reason = reason or first or damage or "empty member"
+                at = next_mark(at + 1)
+            continue
+        try:
+            end, fields = _parse(src, at)
+        except _Bad as e:
             reason = reason or str(e)
-            at = next_mark(at + 1)
+            at = next_mark(e.clear)
             continue
         if bad < at:
             yield bad, at, None, reason
-        for fields, why in inside:
-            yield at, end, fields, why
+        yield at, end, fields, ""
         at = bad = end
         reason = ""
     if bad < len(raw):
