@@ -1,16 +1,17 @@
 """Kneser-Ney models of character n-grams, counted and smoothed by Spark.
 
 Characters are the text's own code points (white space is one character, digits are one,
-NUL is U+0001; letters in lower case if asked). A text starts after ORDER - 1 spaces.
+NUL is U+0001; letters in lower case if asked). Models have an ``order``; a text starts after order - 1 spaces.
 
-1. ``count_ngrams``: how often each n-gram of ORDER characters stands in the texts of a key.
+1. ``count_ngrams``: how often each n-gram of ``order`` characters stands in the texts of a key.
 2. ``levels``: shorter n-grams count the different characters that stand before them.
 3. ``resolve``: discounts from counts of counts, back-off weights by context, and the
    interpolated probability of every n-gram that the texts to be scored hold, all by
    aggregates and joins on the n-gram. Nothing is capped: the tables follow the corpus.
 4. ``Slices``: probabilities as sorted arrays of 64-bit hashes beside their values, in
    slices of at most SLICE bytes. One slice at a time reaches the driver and is broadcast;
-   a model of several slices takes a pass over the texts for each, and sums.
+   a model of several slices takes a pass over the texts for each, and sums. ``release``
+   takes slices back from the executors once what used them is written.
 
 Two n-grams with one hash would share a value (one chance in 2**64 a pair).
 """
@@ -34,7 +35,7 @@ SLICE = 48 << 20
 #: Distinct n-grams that a counting task holds before it gives them away.
 HELD = 400_000
 _CHUNK = 1 << 19
-_MUL = np.random.default_rng(23).integers(1, 2**63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MUL = np.random.default_rng(23).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @cache
@@ -74,20 +75,20 @@ def symbols(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.
     return out, chars
 
 
-def grams(sym: np.ndarray, chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def grams(sym: np.ndarray, chars: np.ndarray, order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of places: the row of each place, the hash of the n-gram that ends there, and where it ends in the last array.
 
-    The last array holds the texts' characters with ORDER - 1 spaces before each text.
+    The last array holds the texts' characters with order - 1 spaces before each text.
     """
     every = np.repeat(np.arange(len(chars) - 1), np.diff(chars))
-    end = np.arange(len(sym)) + (ORDER - 1) * (every + 1)
-    laid = np.full(len(sym) + (ORDER - 1) * (len(chars) - 1), 32, np.uint32)
+    end = np.arange(len(sym)) + (order - 1) * (every + 1)
+    laid = np.full(len(sym) + (order - 1) * (len(chars) - 1), 32, np.uint32)
     laid[end] = sym
     for a in range(0, len(sym), _CHUNK):
         z = min(len(sym), a + _CHUNK)
         lo, hi = end[a], end[z - 1] + 1
         code = laid[lo:hi] * _MUL[0]
-        for k in range(1, ORDER):
+        for k in range(1, order):
             code += laid[lo - k : hi - k] * _MUL[k]
         yield every[a:z], mix(code[end[a:z] - lo]), end[a:z], laid
 
@@ -122,12 +123,12 @@ class Index:
         return at, hit
 
 
-def hashes_of(strings: pa.Array) -> np.ndarray:
-    """The same hashes for n-grams given as strings of ORDER characters."""
-    cp = np.frombuffer("".join(strings.to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+def hashes_of(strings: pa.Array, order: int = ORDER) -> np.ndarray:
+    """The same hashes for n-grams given as strings of ``order`` characters."""
+    cp = np.frombuffer("".join(strings.to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, order)
     code = np.zeros(len(cp), np.uint64)
-    for k in range(ORDER):
-        code += cp[:, ORDER - 1 - k].astype(np.uint64) * _MUL[k]
+    for k in range(order):
+        code += cp[:, order - 1 - k].astype(np.uint64) * _MUL[k]
     return mix(code)
 
 
@@ -138,15 +139,16 @@ def salt_of(key: str) -> np.uint64:
 class _Counter:
     """Counts of one task: hashes in rising order, their counts, keys and characters."""
 
-    def __init__(self):
+    def __init__(self, order: int):
+        self.order = order
         self.clear()
 
     def clear(self) -> None:
         self.index, self.n = Index(np.zeros(0, np.uint64)), np.zeros(0, np.int64)
-        self.key, self.cp = np.zeros(0, np.int32), np.zeros((0, ORDER), "<u4")
+        self.key, self.cp = np.zeros(0, np.int32), np.zeros((0, self.order), "<u4")
 
     def add(self, sym: np.ndarray, chars: np.ndarray, keys: np.ndarray, salts: np.ndarray) -> None:
-        for row, code, end, laid in grams(sym, chars):
+        for row, code, end, laid in grams(sym, chars, self.order):
             code = mix(code + salts[row])
             at, hit = self.index.find(code)
             if len(self.n):
@@ -156,7 +158,7 @@ class _Counter:
                 continue
             u, first, n = np.unique(code[new], return_index=True, return_counts=True)
             place = new[first]
-            cp = np.stack([laid[end[place] - k] for k in range(ORDER - 1, -1, -1)], 1).astype("<u4")
+            cp = np.stack([laid[end[place] - k] for k in range(self.order - 1, -1, -1)], 1).astype("<u4")
             every = np.concatenate([self.index.keys, u])
             order = np.argsort(every, kind="stable")
             self.index = Index(every[order])
@@ -165,17 +167,17 @@ class _Counter:
             self.cp = np.concatenate([self.cp, cp])[order]
 
 
-def count_ngrams(docs: DataFrame, lower: bool = False) -> DataFrame:
+def count_ngrams(docs: DataFrame, lower: bool = False, order: int = ORDER) -> DataFrame:
     """(key, gram, n) of docs (key, text), as a written table; texts of a null key count under a null key."""
 
     def count(batches):
-        held, names = _Counter(), {}
+        held, names = _Counter(order), {}
 
         def give():
             label = np.array(list(names), object)
             for at in range(0, len(held.n), 20_000):
                 part = slice(at, at + 20_000)
-                text = np.ascontiguousarray(held.cp[part]).view(f"<U{ORDER}").ravel()
+                text = np.ascontiguousarray(held.cp[part]).view(f"<U{order}").ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(label[held.key[part]], pa.string()), pa.array(text, pa.string()), pa.array(held.n[part])], ["key", "gram", "n"])
             held.clear()
             names.clear()
@@ -195,16 +197,16 @@ def count_ngrams(docs: DataFrame, lower: bool = False) -> DataFrame:
     return settle(counted.groupBy("key", "gram").agg(F.sum("n").alias("n")), "ngrams")
 
 
-def levels(counts: DataFrame) -> DataFrame:
-    """(key, k, gram, n) of every length k: counts of n-grams of ORDER, and for shorter ones the number of characters before them."""
+def levels(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, k, gram, n) of every length k: counts of n-grams of ``order``, and for shorter ones the number of characters before them."""
     full = counts.where("key IS NOT NULL")
-    ends = [F.struct(F.lit(k).alias("k"), F.substring("gram", ORDER - k + 1, k).alias("gram"), F.substring("gram", ORDER - k, 1).alias("before")) for k in range(1, ORDER)]
+    ends = [F.struct(F.lit(k).alias("k"), F.substring("gram", order - k + 1, k).alias("gram"), F.substring("gram", order - k, 1).alias("before")) for k in range(1, order)]
     less = full.select("key", F.explode(F.array(*ends)).alias("e")).select("key", "e.*").distinct()
     less = less.groupBy("key", "k", "gram").agg(F.count(F.lit(1)).alias("n"))
-    return settle(full.select("key", F.lit(ORDER).alias("k"), "gram", "n").unionByName(less), "levels")
+    return settle(full.select("key", F.lit(order).alias("k"), "gram", "n").unionByName(less), "levels")
 
 
-def _discounts(lev: DataFrame, modified: bool) -> DataFrame:
+def _discounts(lev: DataFrame, modified: bool, order: int) -> DataFrame:
     """(key, d): by length, what is taken from n-grams seen once, twice, and more often. One row a key."""
     c = [F.count_if(F.col("n") == i).cast("double") for i in range(1, 5)]
     d = lev.where("n <= 4").groupBy("key", "k").agg(*[x.alias(f"n{i}") for i, x in enumerate(c, 1)])
@@ -222,23 +224,23 @@ def _discounts(lev: DataFrame, modified: bool) -> DataFrame:
     d = d.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("k", F.array(d1, d2, d3)))).alias("d"))
     plain = F.array(*([F.lit(0.5), F.lit(1.0), F.lit(1.5)] if modified else [F.lit(0.5)] * 3))
     every = lev.select("key").distinct().join(d, "key", "left")
-    return every.select("key", *[F.coalesce(F.col("d")[F.lit(k)], plain).alias(f"d{k}") for k in range(1, ORDER + 1)])
+    return every.select("key", *[F.coalesce(F.col("d")[F.lit(k)], plain).alias(f"d{k}") for k in range(1, order + 1)])
 
 
-def resolve(asked: DataFrame, lev: DataFrame, modified: bool) -> DataFrame:
+def resolve(asked: DataFrame, lev: DataFrame, modified: bool, order: int = ORDER) -> DataFrame:
     """(key, gram, logp): the interpolated probability of the last character of each asked n-gram (key, gram).
 
     asked: distinct rows, as a written table. A key without a model gives every character
     the same probability.
     """
-    d = few(_discounts(lev, modified))
+    d = few(_discounts(lev, modified, order))
     alphabet = max(lev.where("k = 1").select("gram").distinct().count(), 1) + 1
     below = None
-    for k in range(1, ORDER + 1):
+    for k in range(1, order + 1):
         taken = F.col(f"d{k}")[F.least("n", F.lit(3)).cast("int") - 1]
         mine = lev.where(F.col("k") == k).join(d, "key").select("key", "gram", F.substring("gram", 1, k - 1).alias("context"), F.col("n").cast("double").alias("n"), taken.alias("taken"))
         context = mine.groupBy("key", "context").agg(F.sum("n").alias("total"), F.sum("taken").alias("left"))
-        want = asked if k == ORDER else asked.select("key", F.substring("gram", ORDER - k + 1, k).alias("gram")).distinct()
+        want = asked if k == order else asked.select("key", F.substring("gram", order - k + 1, k).alias("gram")).distinct()
         want = want.select("key", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
         out = want.join(mine.select("key", "gram", (F.col("n") - F.col("taken")).alias("rest")), ["key", "gram"], "left").join(context, ["key", "context"], "left")
         if below is None:
@@ -256,15 +258,15 @@ class Slices:
     table: (salt, gram, col, logp) with salt (a string, empty for none) and col below width.
     """
 
-    def __init__(self, table: DataFrame, width: int):
+    def __init__(self, table: DataFrame, width: int, order: int = ORDER):
         def hashed(batches):
             for b in batches:
                 if b.num_rows:
                     salts, which = np.unique(np.array(b.column(0).to_pylist(), object), return_inverse=True)
                     add = np.array([salt_of(s) for s in salts], np.uint64)[which]
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(hashes_of(b.column(1)) + add).view(np.int64)), b.column(2), b.column(3)], ["code", "col", "logp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(hashes_of(b.column(1), order) + add).view(np.int64)), b.column(2), b.column(3)], ["code", "col", "logp"])
 
-        self.width = width
+        self.width, self.shared = width, []
         self.table = settle(table.select("salt", "gram", "col", "logp").mapInArrow(hashed, "code long, col int, logp float"), "model")
         self.count = max(1, -(-self.table.count() * (8 // width + 4) // SLICE))
 
@@ -272,9 +274,14 @@ class Slices:
         """The i-th slice; SLICE bytes or little more, as hashes are even."""
         t = self.table.where(F.pmod("code", F.lit(self.count)) == i).toArrow()
         code = t.column("code").to_numpy().view(np.uint64)
-        order = np.lexsort((t.column("col").to_numpy(), code))
-        values = t.column("logp").to_numpy()[order].reshape(-1, self.width)
-        return self.table.sparkSession.sparkContext.broadcast((Index(code[order][:: self.width].copy()), values))
+        by = np.lexsort((t.column("col").to_numpy(), code))
+        values = t.column("logp").to_numpy()[by].reshape(-1, self.width)
+        self.shared.append(self.table.sparkSession.sparkContext.broadcast((Index(code[by][:: self.width].copy()), values)))
+        return self.shared[-1]
+
+    def release(self) -> None:
+        for x in self.shared:
+            x.unpersist()
 
     def over(self, docs: DataFrame, make: Callable, schema: str, sums: str) -> DataFrame:
         """``docs`` through ``make(slice, first)``, an Arrow function that gives the columns of ``schema``.
@@ -294,11 +301,11 @@ class Slices:
         return every.groupBy("rid").agg(*[total.alias(c) if c == sums else F.any_value(c, True).alias(c) for c in names]).drop("rid")
 
 
-def score(slice_: tuple[Index, np.ndarray], sym: np.ndarray, chars: np.ndarray, salts: np.ndarray) -> np.ndarray:
+def score(slice_: tuple[Index, np.ndarray], sym: np.ndarray, chars: np.ndarray, salts: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Log probabilities that a slice gives to the rows of a run, a column a value."""
     index, values = slice_
     out = np.zeros((len(chars) - 1, values.shape[1]))
-    for row, code, _, _ in grams(sym, chars):
+    for row, code, _, _ in grams(sym, chars, order):
         at, hit = index.find(mix(code + salts[row]))
         if not hit.all():
             at, row = at[hit], row[hit]

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from gaitframe.llm import charmodel as cm
 from gaitframe.llm.shared import byte_slices, few, settle
 
+#: Characters of a model's n-grams.
+ORDER = 5
 SCORES = "doc_id long, fold int, lang string, letter boolean, n_chars long, sums array<double>"
 
 
@@ -40,18 +42,18 @@ def _letters(sym: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Log probabilities of every document under every language (sums, by name), and the names."""
+def score(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[str], cm.Slices]:
+    """Log probabilities of every document under every language (sums, by name), the names, and the models."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold().alias("fold"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     taught = F.when(F.col("fold") > 1, F.col("lang"))
-    counts = cm.count_ngrams(slim.select(taught.alias("key"), "text"), lower=True)
-    lev = cm.levels(counts)
+    counts = cm.count_ngrams(slim.select(taught.alias("key"), "text"), lower=True, order=order)
+    lev = cm.levels(counts, order)
     names = sorted(r["key"] for r in lev.where("k = 1").select("key").distinct().collect())  # a row a language
     col = F.posexplode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))
     asked = settle(counts.select("gram").distinct().select("gram", col.alias("col", "key")), "asked")
-    table = cm.resolve(asked.select("key", "gram"), lev, modified=False)
+    table = cm.resolve(asked.select("key", "gram"), lev, modified=False, order=order)
     place = F.array_position(F.array(*map(F.lit, names or [""])), F.col("key")) - 1
-    slices = cm.Slices(table.select(F.lit("").alias("salt"), "gram", place.cast("int").alias("col"), "logp"), max(len(names), 1))
+    slices = cm.Slices(table.select(F.lit("").alias("salt"), "gram", place.cast("int").alias("col"), "logp"), max(len(names), 1), order)
 
     def make(shared, first):
         def rows(batches):
@@ -59,7 +61,7 @@ def score(docs: DataFrame) -> tuple[DataFrame, list[str]]:
                 for lo, hi, data, off in byte_slices(b.column(3)):
                     n = hi - lo
                     sym, chars = cm.symbols(data, off, lower=True)
-                    sums = cm.score(shared.value, sym, chars, np.full(n, cm.salt_of(""), np.uint64))
+                    sums = cm.score(shared.value, sym, chars, np.full(n, cm.salt_of(""), np.uint64), order)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
                     mine = [c.slice(lo, n) for c in b.columns[:3]] + [pa.array(_letters(sym, chars)), pa.array(np.diff(chars))]
                     mine = mine if first else [pa.nulls(n, c.type) for c in mine]
@@ -67,12 +69,12 @@ def score(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
         return rows
 
-    return slices.over(slim, make, SCORES, "sums"), names
+    return slices.over(slim, make, SCORES, "sums"), names, slices
 
 
-def identify(docs: DataFrame, reject: float = 0.999) -> DataFrame:
+def identify(docs: DataFrame, reject: float = 0.999, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits, rejected of every document."""
-    scored, names = score(docs)
+    scored, names, slices = score(docs, order)
     h = F.transform("sums", lambda x: -x / F.col("n_chars"))
     some = F.col("letter") & F.lit(bool(names))
     out = scored.withColumn("h", F.when(some, h)).withColumn("least", F.array_min("h"))
@@ -86,6 +88,7 @@ def identify(docs: DataFrame, reject: float = 0.999) -> DataFrame:
         (F.col("least") / F.log(F.lit(2.0))).alias("bits"),
     )
     out = settle(out, "langid")
+    slices.release()
     own = out.where("fold = 1 AND lang = lang_pred")
     limit = few(own.groupBy("lang_pred").agg(F.percentile_approx("bits", reject, 10_000).alias("most")))
     out = out.join(limit, "lang_pred", "left")

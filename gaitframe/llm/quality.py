@@ -129,7 +129,9 @@ def _measured(docs: DataFrame, names: list[str], lower: bool = False) -> DataFra
     laid = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if not again[i]], F.concat(lang, F.lit("\x00"), other).alias("score_key"), text.alias("score_text"))
     out = slices.over(laid, make, ", ".join(x for x in (kept, MEASURES) if x), "sums")
     ppl = -F.try_divide(F.col("sums")[0], F.col("n_chars"))
-    return settle(out.withColumn("log_ppl", F.coalesce(ppl, F.lit(0.0))).drop("sums"), "quality")
+    out = settle(out.withColumn("log_ppl", F.coalesce(ppl, F.lit(0.0))).drop("sums"), "quality")
+    slices.release()
+    return out
 
 
 def _judged(docs: DataFrame, names: list[str], low: float, high: float, min_words: int, max_repeat: int) -> DataFrame:
