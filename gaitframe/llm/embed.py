@@ -7,7 +7,7 @@ order of the sum of its halves' distances to the cell's codewords (multi-sequenc
 order); how many follows from vectors at exactly the threshold's angle from the sample's:
 so many that ``recall`` of them would be found. Vectors in visited cells are verified in
 double precision. All vectors are indexed, and all are queries. Vectors of each dimension
-have a grid of their own; up to ``FLAT`` vectors of a dimension share one cell.
+have a grid of their own.
 
 Equal vectors are one class and one node that counts its members, whatever ids its rows
 have: rows that share a vec_id are separate vectors. n_links counts every member of every
@@ -15,8 +15,9 @@ linked class. A pair counts if either of the two visits the other. A component i
 its smallest vec_id.
 
 Vectors that are null, zero, empty, or hold null or non-finite components link with
-nothing, and so do those with a null id. Extra columns are ignored; an empty table gives
-no rows.
+nothing. A sound vector with a null id is linked like others and counts as a link; it
+names no component, so a component of null ids only has a null name. Extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ from gaitframe.llm.shared import few, mix, settle
 SAMPLE = 20_000
 #: Members of a grid row that one task holds.
 HELD = 4096
-#: Vectors of a dimension that need no codebook.
-FLAT = 512
 #: Codewords of a half, at most: a fifth of the sample's vectors each have one of their own.
 MOST_WORDS = SAMPLE // 5
 CELLED = "id long, n long, dim int, k int, v array<double>, i int, cell int, visits array<int>"
@@ -129,7 +128,6 @@ def _units(table: DataFrame) -> DataFrame:
                 part = b.slice(at, 2048)
                 ids, lists = part.column(0), part.column(1)
                 size = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
-                size[np.array(ids.is_null())] = 0
                 flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
                 full = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
                 first = np.cumsum(full) - full
@@ -152,7 +150,7 @@ def _units(table: DataFrame) -> DataFrame:
 
 
 def _place(vectors: DataFrame, grids: dict[int, Grid]) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(grids)  # at most 2 * MOST_WORDS codewords a dimension of over FLAT vectors
+    shared = vectors.sparkSession.sparkContext.broadcast(grids)  # at most 2 * MOST_WORDS codewords a dimension
 
     def rows(batches):
         for b in batches:
@@ -269,7 +267,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, recall: float = 0.99
     # a class is a node by a number of its own, fixed by the written table
     one = settle(same.withColumn("id", F.monotonically_increasing_id()), "distinct")
     grids = {}
-    for r in one.groupBy("dim").count().where(F.col("count") > FLAT).collect():  # a row a dimension
+    for r in one.groupBy("dim").count().where("count > 1").collect():  # a row a dimension
         mine = one.where(F.col("dim") == r["dim"]).where(F.pmod(F.xxhash64("h1"), F.lit(r["count"] // SAMPLE + 1)) == 0)
         sample = mine.select("v").toArrow().column(0).combine_chunks()
         if len(sample) > 1:
