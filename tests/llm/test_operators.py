@@ -4,13 +4,14 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import pytest
-from gaitframe.llm import charmodel, embed, langid, minhash, mixing, packing, quality, secrets, shards, suffix, warc
+from gaitframe.llm import charmodel, embed, extract, langid, minhash, mixing, packing, quality, secrets, shards, suffix, warc
 from gaitframe.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -157,17 +158,145 @@ def test_secrets(docs, rows, empty):
     assert secrets.scan(empty).count() == 0
 
 
-def test_entropy_windows_follow_brute_force():
+def plain_spans(text):
+    """All spans of a text, window by window and from nothing that the operator has."""
+    assign = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    base = [(s, e) for s, _, e in found]
+    percent = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074), strict=True))
+
+    def wordy(p):
+        letters, cases, groups, hard, run = 0, 0, 0, 0.0, 0
+        longest = 0
+        for i, c in enumerate(p):
+            if c.isdigit():
+                groups += i == 0 or not p[i - 1].isdigit()
+                run = run if letters else 0
+                continue
+            before = p[i - 1] if i else " "
+            # a new stretch: after a digit, at a change to upper case, or to lower case after two or more capitals
+            if not before.isalpha() or (c.isupper() and before.islower()) or (c.islower() and before.isupper() and i > 1 and p[i - 2].isupper()):
+                cases += 1
+            letters += 1
+            hard += min(3.0, np.log2(100 / 26 / percent[c.lower()]))
+            run = 0 if c.lower() in "aeiouy" else run + 1
+            longest = max(longest, run)
+        if not letters:
+            return True
+        if groups > 2 or (letters < 2.8 * cases and len(p) > 4):
+            return False
+        return hard + 1.5 * max(0, longest - 4) < (3.5 if letters < 14 else 0)
+
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        run, low, banned = m[0], m[0].lower(), np.zeros(len(m[0]), bool)
+        for x in re.finditer("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", run):
+            banned[x.start() : x.end()] = True
+        for word in ("example", "placeholder", "changeme", "your_", "dummy", "abcdefghijklmnop", "0123456789"):
+            for x in re.finditer(word, low):
+                banned[x.start() : x.end()] = True
+        part, odd = np.zeros(len(run), int), np.zeros(len(run), bool)
+        edges = np.flatnonzero(np.r_[True, banned[1:] != banned[:-1], True])
+        for a, z in zip(edges, edges[1:], strict=False):
+            if banned[a]:
+                continue
+            for x in re.finditer("[A-Za-z0-9]+", run[a:z]):
+                odd[a + x.start() : a + x.end()] = not wordy(x[0])
+            for n, x in enumerate(re.finditer("[^=/_]+", run[a:z])):
+                part[a + x.start() : a + x.end()] = 1000 * a + n + 1
+        hit = []
+        for i in range(len(run) - 19):
+            w = run[i : i + 20]
+            if banned[i : i + 20].any() or odd[i : i + 20].sum() < 12:
+                continue
+            c = np.array(list(Counter(w).values())) / 20
+            upper, lower, digit = any(map(str.isupper, w)), any(map(str.islower, w)), any(map(str.isdigit, w))
+            if digit and (upper or lower):
+                need = 2.70 if set(w) <= set("0123456789abcdefABCDEF") else 3.48 if upper and lower else 3.22
+            elif upper or lower:
+                need = 3.40 if upper and lower else 3.04
+            else:
+                continue
+            if -(c * np.log2(c)).sum() >= need - 1e-9:
+                hit.append(i)
+        spans = []
+        for i in hit:
+            if spans and i <= spans[-1][1]:
+                spans[-1][1] = i + 20
+            else:
+                spans.append([i, i + 20])
+        whole = []
+        for a, z in spans:
+            mine = [k for k in sorted(set(part[a:z]) - {0}) if odd[part == k].any()]
+            a, z = int(np.flatnonzero(part == mine[0])[0]), int(np.flatnonzero(part == mine[-1])[-1]) + 1
+            if whole and a <= whole[-1][1]:
+                whole[-1][1] = max(z, whole[-1][1])
+            else:
+                whole.append([a, z])
+        for a, z in whole:
+            a, z = a + m.start(), z + m.start()
+            if not any(s <= a and z <= e for s, e in base):
+                found.append((a, 3, z))
+    names = ("assign", "access", "hex", "entropy")
+    return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def secret_texts(n):
+    """Texts of words, paths and random keys beside each other."""
+    r = np.random.default_rng(6)
+    kinds = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz", "aB3"]
+    words_ = ["river", "rose", "again", "HTTPServer", "example_", "2024", "11", "covid", "python3", "usr", "lib", "dist", "your_", "changeMe", "123e4567-e89b-12d3-a456-426614174000", "xkqz", "token=", "AKIA"]
+    for _ in range(n):
+        out = []
+        for _ in range(int(r.integers(1, 12))):
+            out.append("".join(r.choice(list(kinds[int(r.integers(len(kinds)))]), int(r.integers(5, 60)))) if r.random() < 0.5 else str(r.choice(words_)))
+            out.append(str(r.choice([" ", "-", "/", "_", "=", "", ".", "é "])))
+        yield "".join(out)
+
+
+def test_spans_follow_an_independent_scan(docs, rows):
+    texts = list(secret_texts(600))
+    for text in texts:
+        assert secrets.joined(secrets.scan_text(text)) == plain_spans(text), text
+    assert sum("entropy" in plain_spans(x) for x in texts) > 200
+    got = counted(secrets.scan(docs), "doc_id", "spans")
+    assert got == Counter((r.doc_id, plain_spans(r.text or "")) for r in rows)
+
+
+def test_windows_are_counted_whole():
     r = np.random.default_rng(5)
-    for _ in range(200):
-        s = "".join(r.choice(list("abcdXY019"), int(r.integers(1, 60))))
-        hit = set()
-        for i in range(len(s) - 19):
+    s = "".join(r.choice(list("abcdXY019+/"), 300))
+    for chunk in (7, 1 << 14):
+        old, secrets._CHUNK = secrets._CHUNK, chunk
+        try:
+            counts = np.concatenate([c for _, c in secrets.windows(s)])
+        finally:
+            secrets._CHUNK = old
+        for i, h in enumerate(secrets.entropies(counts)):
             c = np.array(list(Counter(s[i : i + 20]).values())) / 20
-            if -(c * np.log2(c)).sum() >= 2.8 - 1e-9:
-                hit.update(range(i, i + 20))
-        got = secrets.entropy_spans(s, 20, 2.8)
-        assert hit == {i for a, b in got for i in range(a, b)}
+            assert abs(h + (c * np.log2(c)).sum()) < 1e-9
+        assert len(counts) == 281
+
+
+def test_rates_of_false_alarms_and_misses():
+    r = np.random.default_rng(17)
+    text = (secrets.__doc__ + minhash.__doc__ + suffix.__doc__ + packing.__doc__ + quality.__doc__ + extract.__doc__).lower()
+    vocabulary = sorted(set(re.findall("[a-z]{2,}", text)))
+
+    def made(kind):
+        w = list(r.choice(vocabulary, int(r.integers(4, 9))))
+        year = str(r.integers(1, 2025))
+        return {"slug": "-".join(w), "numbered": "-".join([w[0], year, *w[1:]]), "path": "/" + "/".join(w) + year[:1], "snake": "_".join([*w, year]), "camel": "".join(x.capitalize() for x in w) + year[:1], "const": "_".join(w).upper(), "url": f"https://www.{w[0]}.example.org/2024/11/{'-'.join(w)}"}[kind]
+
+    for kind in ("slug", "numbered", "path", "snake", "camel", "const", "url"):
+        assert sum(bool(secrets.scan_text(made(kind))) for _ in range(1000)) <= 10, kind
+    for s in ("/2024/11/why-the-river-rose-again", "covid-19-vaccination-programme", "a-guide-to-the-top-50-restaurants-in-town", "/usr/lib/python3/dist-packages/yaml", "report_2024-11-05_final_version"):
+        assert secrets.scan_text(s) == []
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters in (digits + "abcdef", digits + "ABCDEF", low + digits, low.upper() + digits, low + low.upper() + digits, low + low.upper() + digits + "+/", low + low.upper() + digits + "-_", low, low.upper(), low + low.upper()):
+        keys = ["".join(r.choice(list(letters), 32)) for _ in range(1000)]
+        assert sum(not secrets.scan_text(k) for k in keys) <= 10, letters
 
 
 def test_entropy_takes_whole_candidates_and_no_context():
@@ -186,6 +315,12 @@ def test_entropy_takes_whole_candidates_and_no_context():
         assert sum(secrets.scan_text(x) != [(0, size, "entropy")] for x in tokens) <= most
 
 
+def test_redact_takes_any_names(spark):
+    df = spark.createDataFrame([(1, "key kJ8s7Hq2LmZ0xVb4Nw6RtY1u end", 0, "x", "y"), (2, None, 3, None, "`")], "doc_id long, Text string, N_Chars int, `a.b` string, `c``d` string")
+    out = secrets.redact(df)
+    assert out.schema == df.schema and {tuple(r) for r in out.collect()} == {(1, "key [SECRET] end", 16, "x", "y"), (2, None, 3, None, "`")}
+
+
 def test_redact(docs):
     out = secrets.redact(docs)
     assert out.schema == docs.schema and out.count() == docs.count()
@@ -273,7 +408,7 @@ class BruteKneserNey:
 
 
 def alphabet_of(texts, lower):
-    m = BruteKneserNey(texts, 1, True, lower)
+    m = BruteKneserNey(texts, 1, True, lower, 4)
     return len({g[-1] for g in m.c[4]}) + 1
 
 
@@ -305,16 +440,16 @@ def test_quality_bands_follow_brute_force(spark, monkeypatch, slice_bytes):
     assert good.schema == df.schema and {r.doc_id for r in good.collect()} == kept
 
 
-@pytest.mark.parametrize("slice_bytes", [48 << 20, 40_000])
-def test_language_models_follow_brute_force(spark, monkeypatch, slice_bytes):
+@pytest.mark.parametrize("slice_bytes, order", [(48 << 20, 5), (40_000, 5), (48 << 20, 3)])
+def test_language_models_follow_brute_force(spark, monkeypatch, slice_bytes, order):
     monkeypatch.setattr(charmodel, "SLICE", slice_bytes)
     rows = tongues()
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, lang string, source string, fold int").repartition(3)
     fold = {x[0]: zlib.crc32(b"" if x[0] is None else str(x[0]).encode()) % 5 for x in rows}
     alphabet = alphabet_of([x[1] for x in rows if x[1] and x[2] and fold[x[0]] > 1], True)
     taught = {lang: [x[1] for x in rows if x[1] and x[2] == lang and fold[x[0]] > 1] for lang in sorted({x[2] for x in rows if x[2]})}
-    models = {k: BruteKneserNey(v, alphabet, False, True) for k, v in taught.items() if v}
-    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    models = {k: BruteKneserNey(v, alphabet, False, True, order) for k, v in taught.items() if v}
+    got = {r.doc_id: r for r in langid.identify(df, order=order).collect()}
     for i, text, _, _ in rows:
         r = got[i]
         assert r.held_out == (fold[i] == 0)
@@ -339,7 +474,7 @@ def test_hashes_of_ngrams_agree():
     for t in texts:
         s = "   " + t.replace("1", "0").replace("\x00", "\x01")
         want += [s[i : i + 4] for i in range(len(t))]
-    got = np.concatenate([x[1] for x in charmodel.grams(sym, chars)])
+    got = np.concatenate([x[1] for x in charmodel.grams(sym, chars, 4)])
     keys = np.unique(got[::2])
     at, hit = charmodel.Index(keys).find(got)
     assert (hit == np.isin(got, keys)).all() and (keys[at[hit]] == got[hit]).all()
@@ -515,10 +650,9 @@ def test_signature_similarity():
     assert abs(minhash.agreement(a[0], a[1:])[0] - (share - 1 / 16) / (15 / 16)) < 1e-12
 
 
-@pytest.mark.parametrize("held, flat", [(4096, 512), (50, 20)])
-def test_embeddings(spark, monkeypatch, held, flat):
+@pytest.mark.parametrize("held", [4096, 50])
+def test_embeddings(spark, monkeypatch, held):
     monkeypatch.setattr(embed, "HELD", held)
-    monkeypatch.setattr(embed, "FLAT", flat)
     t = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     r = np.random.default_rng(6)
     near = [(10_000 + i, (np.array(t.embedding[i % 7]) + 0.02 * r.standard_normal(64)).astype("float32").tolist()) for i in range(60)]
@@ -549,9 +683,10 @@ def test_embeddings(spark, monkeypatch, held, flat):
 
 def test_embeddings_with_shared_and_null_ids(spark):
     v, w, u = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
-    rows = [(3, v), (7, v), (7, u), (8, u), (9, w), (None, v), (None, None), (10, [1.0, 0.0])]
+    t = [1.0, 1.0, 1.0]
+    rows = [(3, v), (7, v), (7, u), (8, u), (9, w), (None, v), (None, None), (10, [1.0, 0.0]), (None, t), (None, t)]
     out = embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    assert counted(out, "vec_id", "n_links", "component_id", "kept") == Counter([(3, 2, 3, True), (7, 2, 3, False), (7, 1, 7, True), (8, 1, 7, False), (9, 2, 3, False), (None, 0, None, True), (None, 0, None, True), (10, 0, 10, True)])
+    assert counted(out, "vec_id", "n_links", "component_id", "kept") == Counter([(3, 3, 3, True), (7, 3, 3, False), (7, 1, 7, True), (8, 1, 7, False), (9, 3, 3, False), (None, 3, 3, False), (None, 0, None, True), (10, 0, 10, True), (None, 1, None, True), (None, 1, None, True)])
 
 
 def test_warc(spark, tmp_path):
@@ -633,6 +768,49 @@ def test_salvage_of_damage_is_linear_and_logged(spark, tmp_path):
         warc.whole(records).collect()
 
 
+def warc_record(i, body):
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha256:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, hashlib.sha256(body).hexdigest().encode(), len(body), body)
+
+
+@pytest.mark.parametrize("held", [64 << 20, 1000])
+@pytest.mark.parametrize("how", ["flip", "cut", "trailer", "whole"])
+def test_damaged_members_give_what_comes_before(monkeypatch, held, how):
+    monkeypatch.setattr(warc, "HELD", held)
+    r = np.random.default_rng(3)
+    bodies = [bytes(r.integers(0, 256, 3000, dtype=np.uint8)) for _ in range(50)]
+    member = warc.gzip_member(b"".join(warc_record(i, x) for i, x in enumerate(bodies)))
+    at = int(len(member) * 0.9)
+    member = {"flip": member[:at] + bytes([member[at] ^ 255]) + member[at + 1 :], "cut": member[:at], "trailer": member[:-6] + bytes(2) + member[-4:], "whole": member}[how]
+    after = warc.gzip_member(warc_record(99, b"next"))
+    raw = member + (b"" if how == "cut" else after)
+    out = list(warc.salvage(raw))
+    ids = [int(f["warc-record-id"][10:-1]) for *_, f, _ in out if f]
+    most = {"flip": 44, "cut": 44, "trailer": 50, "whole": 50}[how]
+    assert ids[:most] == list(range(most)) and (how == "cut" or ids[-1] == 99) and len(ids) <= 52
+    assert [f["body"] for *_, f, _ in out if f][:most] == bodies[:most]
+    assert any(f is None for *_, f, _ in out) == (how != "whole")
+    edges = sorted({x[:2] for x in out})
+    assert edges[0][0] == 0 and edges[-1][1] == len(raw) and all(a[1] == b[0] for a, b in zip(edges, edges[1:], strict=False))
+
+
+def test_long_members_are_read_as_streams(monkeypatch):
+    monkeypatch.setattr(warc, "HELD", 1 << 16)
+    made = [warc_record(i, bytes([i % 256]) * 200_000) for i in range(40)]
+    raw = warc.gzip_member(b"".join(made[:20]) + b"junk" * 700_000 + b"".join(made[20:])) + warc.gzip_member(made[0])
+    out = list(warc.salvage(raw))
+    assert [f["warc-record-id"] for *_, f, _ in out if f] == [f"<urn:page:{i}>" for i in (*range(40), 0)]
+    assert [why for *_, f, why in out if f is None] == ["no version line"]
+    monkeypatch.setattr(warc, "MOST_RECORD", 100_000)
+    assert {why for *_, why in warc.salvage(raw)} == {"record is longer than Spark's values"}
+
+
+def test_version_lines_without_headers_take_linear_time():
+    for raw in (b"WARC/1.1\r\n" * 100_000, b"WARC/1.1\r\n" + b"x: WARC/1.1\r\n" * 100_000, b"WARC/1.1\r\n" + b"x: WARC/1.1\r\n" * 100_000 + b"\r\n"):
+        began = time.process_time()
+        assert [f is None for *_, f, _ in warc.salvage(raw + warc_record(1, b"a"))] == [True, False]
+        assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("most", [50_000, 0])
 def test_warc_takes_null_and_repeated_page_ids(spark, tmp_path, monkeypatch, most):
     monkeypatch.setattr(warc, "MOST_BROADCAST", most)
