@@ -134,6 +134,20 @@ def _measured(docs: DataFrame, names: list[str], lower: bool = False) -> DataFra
     return out
 
 
+def measures(docs: DataFrame, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+    """doc_id, the stated measures and base_failed of every document, without any model."""
+    names = ["doc_id", *(x.split()[0] for x in MEASURES.split(", ")[:5])]
+
+    def rows(batches):
+        for b in batches:
+            for lo, hi, data, off in byte_slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(pa.array, measure(data, off))], names)
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = slim.mapInArrow(rows, ", ".join(f"{n} long" for n in names))
+    return out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
+
+
 def _judged(docs: DataFrame, names: list[str], low: float, high: float, min_words: int, max_repeat: int) -> DataFrame:
     """What ``_measured`` gives, with base_failed and kept; the names hold lang."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))

@@ -1,4 +1,4 @@
-"""The thirteen contract queries and their SQL. Each reads its whole table through its operator."""
+"""The thirteen contract queries, two that show what SQL can say of others, and their SQL. Each reads its whole table through its operator."""
 
 from __future__ import annotations
 
@@ -68,13 +68,23 @@ def op10_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: the counts of the stated patterns."""
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: the stated measures and rules."""
+    return quality.measures(table(spark, sf_dir, "documents"))
+
+
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
 def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.main_texts(table(spark, sf_dir, "pages"))
+    return extract.main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def _made_periodic(docs: DataFrame) -> DataFrame:
@@ -101,7 +111,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_warc_salvage, op5_language_id, op6_suffix_dedup, op7_byte_shards, op8_source_mix, op9_minhash_dedup, op10_multi_index_dedup, op11_fill_in_middle, op12_html_extraction, op13_periodic_runs)
+        for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_warc_salvage, op5_language_id, op6_suffix_dedup, op7_byte_shards, op8_source_mix, op9_minhash_dedup, op10_multi_index_dedup, op11_fill_in_middle, op12_html_extraction, op13_periodic_runs, secret_counts, text_measures)
     }
 
 
@@ -139,4 +149,23 @@ def oracle_sql() -> dict[str, str]:
                    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
                    sha256(t) AS restored_sha256
             FROM o""",
+        # the given pages mark their article, whose blocks are h1 and p, and hold two character references
+        "op12_html_extraction": r"""
+            WITH a AS (SELECT page_id, url, regexp_split_to_array(coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), '</?(?:p|h1)>') AS parts FROM pages),
+            b AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g')) AS parts FROM a),
+            c AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(x, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b),
+            t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '') AS text FROM c)
+            SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t""",
+        "secret_counts": r"""
+            SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: len(x) >= 6))::BIGINT AS n_assign,
+                   len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: len(x) >= 24))::BIGINT AS n_hex
+            FROM documents""",
+        "text_measures": r"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            g AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8), h AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM g),
+            twice AS (SELECT r, g FROM h GROUP BY r, g HAVING count(*) > 1), hit AS (SELECT r, unnest(range(i, i + 8)) AS i FROM h JOIN twice USING (r, g)), rep AS (SELECT r, count(DISTINCT i) AS n FROM hit GROUP BY r),
+            l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d), dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(w) AS base_failed
+            FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)""",
     }
