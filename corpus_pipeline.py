@@ -23,7 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; rows that are equal in id and text count once."""
+    """One document of each group stays; rows that are equal in id and text count once.
+
+    Where such rows differ in other columns, any one of them stays.
+    """
     found = minhash.near_duplicates(docs, words=5, percent=80)
     one, key = fresh(docs, "kept_id", "kept_key")
     keep = settle(found.where("kept").select(F.col("doc_id").alias(one), F.col("text_key").alias(key)).distinct(), "kept")

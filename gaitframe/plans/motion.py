@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from gaitframe.functions import names, numbers
 from gaitframe.operators import audit, baseline, classify, compare, landmarks, motion, overlay, phases, quality, report
-from gaitframe.sources import sinks
+from gaitframe.sources import pose, sinks
 from gaitframe.sources import stand_ins as s
 from gaitframe.sources.folders import new_folder
+from gaitframe.streaming import clips
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -59,6 +60,13 @@ def frame_quality(spark, sf):
     return rounded(quality.frame_quality(s.pose_records(spark, sf, True)))
 
 
+def frame_quality_of_lines(spark, sf):
+    """Records as JSON lines, written and read again with the strict reader."""
+    path = new_folder(spark, "records")
+    sinks.write_json(s.pose_records(spark, sf, True), path)
+    return rounded(quality.frame_quality(pose.read_pose_records(spark, path)))
+
+
 def clip_quality_summary(spark, sf):
     return rounded(quality.clip_quality(quality.frame_quality(s.pose_records(spark, sf, True)), "video_id"), 5)
 
@@ -122,6 +130,12 @@ def phase_timeline_sparse(spark, sf):
     return rounded(_timeline(spark, sf, True))
 
 
+def phase_timeline_arriving(spark, sf):
+    """The rules that close a clip on a stream, over whole clips."""
+    frames = _frames(spark, sf, True).withColumn("arrived", F.lit("2024-01-01").cast("timestamp"))
+    return rounded(clips.arriving_phases(frames))
+
+
 def phase_profile(spark, sf):
     t = _timeline(spark, sf)
     return rounded(t.groupBy("phase").agg(F.count(F.lit(1)).alias("frames"), F.avg("hand_height_proxy").alias("mean_height"), F.count_if("is_contact_proxy").alias("contacts")))
@@ -362,5 +376,5 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     frame_motion, key_frames, phase_timeline, phase_timeline_sparse, phase_summary, phase_counts, movement_features, movement_summary, shot_summary, baseline_distribution, baseline_counts, segment_zscore,
     metric_status, comparison_status, report_rows, label_join, label_unmatched, label_dedupe_first, feature_scaling, loo_nearest, loo_confusion, loo_evaluation, audit_rows, audit_summary, best_clips,
     archive_counts, balanced_sample, first_members, path_labels, json_props, metric_short_name, every_nth_frame, pixel_points, skeleton_edges, frame_states, clip_scalars, cards, manifest_evidence,
-    frame_pivot_of_table, phase_timeline_of_table, baseline_merged, baseline_profile, baseline_table, baseline_manifest, relative_paths, feature_chart, rate_chart, comparison_documents, demo_summary,
+    frame_pivot_of_table, phase_timeline_of_table, phase_timeline_arriving, frame_quality_of_lines, baseline_merged, baseline_profile, baseline_table, baseline_manifest, relative_paths, feature_chart, rate_chart, comparison_documents, demo_summary,
 )

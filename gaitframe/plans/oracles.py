@@ -163,6 +163,7 @@ def sql() -> dict[str, str]:
                    round(abs(e[2 * landmark_index + 1]), 6) AS visibility, round(abs(e[2 * landmark_index + 2]), 6) AS presence FROM lm""",
         "landmark_summary": "SELECT 'image' AS coordinate_space, count(*) * 32 AS landmark_rows, count(*) AS frames, count(*) AS pose_instances, 'image' AS spaces FROM embeddings",
         "frame_quality": f"{quality} SELECT video_id, 'clips/' || video_id || '.mp4' AS source_video_path, frame_index, timestamp_ms, 1 AS pose_count, true AS has_pose, 32 AS image_landmark_count, 0 AS world_landmark_count, round(32 / 33e0, 6) AS landmark_coverage, round(mv, 6) AS mean_visibility, round(mp, 6) AS mean_presence, round(ok / 32e0, 6) AS coordinate_valid_ratio, round(score, 6) AS frame_quality_score FROM q",
+        "frame_quality_of_lines": f"{quality} SELECT video_id, 'clips/' || video_id || '.mp4' AS source_video_path, frame_index, timestamp_ms, 1 AS pose_count, true AS has_pose, 32 AS image_landmark_count, 0 AS world_landmark_count, round(32 / 33e0, 6) AS landmark_coverage, round(mv, 6) AS mean_visibility, round(mp, 6) AS mean_presence, round(ok / 32e0, 6) AS coordinate_valid_ratio, round(score, 6) AS frame_quality_score FROM q",
         "clip_quality_summary": f"{quality} SELECT video_id, count(*) AS total_frames_processed, count(*) AS frames_with_pose, 1e0 AS pose_detection_rate, round(avg(score), 5) AS mean_frame_quality_score, round(avg(mv), 5) AS mean_visibility, round(avg(mp), 5) AS mean_presence, round(count(*) FILTER (WHERE score < 0.5) / count(*), 5) AS low_quality_frame_rate FROM q GROUP BY video_id",
         "frame_pivot": f"{_frames(True)} SELECT video_id, frame_index, timestamp_ms, {_r(' '.join(f'x_{n} y_{n}' for n in TRACKED))} FROM fr",
         "frame_pivot_of_table": f"{_frames(True)} SELECT video_id, frame_index, timestamp_ms, {_r(' '.join(f'x_{n} y_{n}' for n in TRACKED))} FROM fr",
@@ -179,6 +180,7 @@ def sql() -> dict[str, str]:
         "key_frames": f"{_timeline(True)} SELECT video_id, max(n)::BIGINT AS usable, max(apex) AS apex, max(contact) AS contact FROM k GROUP BY video_id",
         "phase_timeline": f"{_timeline(False)} SELECT {TIMELINE} FROM tl",
         "phase_timeline_sparse": f"{_timeline(True)} SELECT {TIMELINE} FROM tl",
+        "phase_timeline_arriving": f"{_timeline(True)} SELECT {TIMELINE} FROM tl",
         "phase_timeline_of_table": f"{_timeline(True)} SELECT {TIMELINE} FROM tl",
         "phase_summary": f"{_timeline(True)} SELECT video_id, count(*) AS frames, count(*) FILTER (WHERE phase <> 'unavailable') AS usable_frames, count(*) FILTER (WHERE is_contact_proxy) AS contacts, array_to_string(list_filter({[p[0] for p in PHASES]}, lambda x: list_contains(list(phase), x)), ',') AS phases FROM tl GROUP BY video_id",
         "phase_counts": f"{_timeline(True)} SELECT phase, count(*) AS frames FROM tl GROUP BY phase",
