@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
-from gaitframe.llm import charmodel, embed, extract, langid, minhash, mixing, packing, quality, secrets, shards, suffix, warc
+from gaitframe.llm import charmodel, embed, extract, graph, langid, minhash, mixing, packing, quality, secrets, shards, suffix, warc
 from gaitframe.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -544,6 +544,24 @@ def test_shards(docs, rows, empty):
     assert shards.assign(empty).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [None, 1, 37])
+def test_shards_follow_the_laid_order(docs, rows, ranges):
+    """Texts by hash and id (nulls first), one after the other, cut at equal targets of bytes."""
+    import xxhash
+
+    def spot(text):
+        h = xxhash.xxh64_intdigest(text.encode(), seed=42) if text is not None else 42
+        return h - (1 << 64) if h >> 63 else h
+
+    laid = sorted((spot(r.text), r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()) + 8, r.doc_id, zlib.crc32((r.text or "").encode())) for r in rows)
+    total, at, want, heads = sum(x[3] for x in laid), 0, Counter(), {}
+    for place, (_, _, _, size, doc_id, crc) in enumerate(laid):
+        shard = min(23, 24 * (2 * at + size) // (2 * total))
+        want[doc_id, size, crc, shard, place - heads.setdefault(shard, place)] += 1
+        at += size
+    assert counted(shards.assign(docs, 24, ranges=ranges), "doc_id", "size", "text_crc32", "shard", "slot") == want
+
+
 def test_mixing(docs, rows, empty):
     size = Counter()
     for r in rows:
@@ -822,3 +840,29 @@ def test_warc_takes_null_and_repeated_page_ids(spark, tmp_path, monkeypatch, mos
     assert Counter((r.page_id, r.record_type, r.refers_to) for r in out) == Counter([(5, "response", None), (5, "response", None), (9, "revisit", 5), (None, "response", None), (None, "response", None), (9, "response", None)])
     warc.write_archives(df.where("false"), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_components_follow_union_find(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_BROADCAST", most)
+    r = np.random.default_rng(8)
+    chain = [(i, i + 1) for i in range(1000, 1040)]
+    star = [(5000, 5001 + i) for i in range(300)] + [(5000 - i, 5300) for i in range(1, 4)]
+    some = [tuple(map(int, x)) for x in r.integers(0, 400, (260, 2))]
+    edges = chain + star + some + some[:9] + [(b, a) for a, b in some[:20]] + [(7, 7), (-3, 9)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    want = {x: find(x) for x in root}
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"))
+    assert Counter(map(tuple, got.collect())) == Counter(want.items())
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
