@@ -76,8 +76,7 @@ def _visits(points: DataFrame, asks: DataFrame, dims: int, block: int, most: int
         return F.array_min(F.filter(found, lambda x: x["id"].isNotNull()))
 
     own = placed(asks).join(parts, "cell").select("shot_id", "shot_type", "v", "cell", part("shot_id").alias("part"))
-    own = own.join(members, ["cell", "part"], "left").select("shot_id", "shot_type", "v", "cell", "part", best("shot_id").alias("best"), F.coalesce(F.size("members"), F.lit(0)).alias("compared"))
-    own = kept(own)
+    own = own.join(members, ["cell", "part"]).select("shot_id", "shot_type", "v", "cell", "part", best("shot_id").alias("best"), F.size("members").alias("compared"))
     again = own.join(F.broadcast(pivots)).join(F.broadcast(row)).withColumn("d", F.transform("pivots", lambda p: far(p["v"], F.col("v"))))  # one row each
     # a pivot of another vector is a neighbour too, unless its only id is the shot's
     other = F.filter("pivots", lambda p: (p["v"] != F.col("v")) & ((p["one"] != F.col("shot_id")) | p["two"].isNotNull()))
@@ -91,11 +90,12 @@ def _visits(points: DataFrame, asks: DataFrame, dims: int, block: int, most: int
         least = F.greatest(d - c["outer"], c["inner"] - d, outside)
         return least - _EPS * (least + d + c["outer"]) > F.col("bound")
 
-    again = again.withColumn("bound", bound).select("shot_id", "shot_type", "v", "part", F.col("cell").alias("_own"), F.explode(F.filter("cells", lambda c: ~beyond(c))).alias("c"))
-    again = again.select("shot_id", "shot_type", "v", F.col("part").alias("_part"), "_own", F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("c.parts") - 1)).alias("part"))
-    again = again.where((F.col("cell") != F.col("_own")) | (F.col("part") != F.col("_part")))
-    met = again.join(members, ["cell", "part"]).select("shot_id", "shot_type", best("shot_id").alias("best"), F.size("members").alias("compared"))
-    return own.select("shot_id", "shot_type", "best", (F.col("compared") + k).alias("compared")).unionByName(met)
+    # the shot's own block is among them, and stands for what it gave: so the shots pass here once
+    again = again.withColumn("bound", bound).select("shot_id", "shot_type", "v", F.col("best").alias("_best"), F.col("compared").alias("_compared"), F.col("part").alias("_part"), F.col("cell").alias("_own"), F.explode(F.filter("cells", lambda c: (c["cell"] == F.col("cell")) | ~beyond(c))).alias("c"))
+    again = again.select("shot_id", "shot_type", "v", "_best", "_compared", "_part", "_own", F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("c.parts") - 1)).alias("part"))
+    mine = (F.col("cell") == F.col("_own")) & (F.col("part") == F.col("_part"))
+    met = again.join(members, ["cell", "part"])
+    return met.select("shot_id", "shot_type", F.when(mine, F.col("_best")).otherwise(best("shot_id")).alias("best"), F.when(mine, F.col("_compared") + k).otherwise(F.size("members")).alias("compared"))
 
 
 def nearest(points: DataFrame, columns: tuple[str, ...] = METRIC_NAMES, block: int = BLOCK, pivots: int = MOST_PIVOTS) -> DataFrame:
