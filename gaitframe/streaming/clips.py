@@ -108,7 +108,7 @@ def arriving_phases(frames: DataFrame, arrived: str = "arrived", delay: str = "1
     if frames.isStreaming:
         return slim.groupBy("video_id").applyInPandasWithState(update, TIMELINE, HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
-    def whole(key, f: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         out = clip_phases(f)
         out.insert(0, "video_id", key[0])
         return out
