@@ -42,12 +42,14 @@ def scaled(shots: DataFrame, columns: tuple[str, ...] = METRIC_NAMES) -> DataFra
 
     A metric that no shot has is 0 everywhere, and so adds nothing to a distance; to leave
     such metrics out, give ``known_metrics``.
+
+    Means and deviations are numbers in the plan (two passes, a row each), since a sum that
+    runs again on a cluster may add its parts in another order and end in other last digits.
     """
-    means = shots.agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
-    filled = shots.join(F.broadcast(means)).withColumns({c: F.coalesce(c, f"m_{c}") for c in columns})  # one row
-    devs = filled.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
-    both = filled.join(F.broadcast(devs))  # one row
-    return both.select("shot_id", "shot_type", *[F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.coalesce(F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias(c) for c in columns])
+    means = shots.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    filled = shots.select("shot_id", "shot_type", *[F.coalesce(c, F.lit(means[c]).cast("double")).alias(c) for c in columns])
+    devs = filled.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    return filled.select("shot_id", "shot_type", *[F.coalesce((F.col(c) - F.lit(means[c]).cast("double")) / F.lit(devs[c] or 1.0), F.lit(0.0)).alias(c) for c in columns])
 
 
 def nearest(points: DataFrame, columns: tuple[str, ...] = METRIC_NAMES) -> DataFrame:

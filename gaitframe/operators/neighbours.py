@@ -33,8 +33,8 @@ def far(a: Column, b: Column) -> Column:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint where the session has a folder for it."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """``df`` as a checkpoint, local where the session has no folder for it: what joins meet is one evaluation's values."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
 
 def _salted(df: DataFrame) -> DataFrame:
@@ -102,7 +102,8 @@ def nearest(points: DataFrame, columns: tuple[str, ...] = METRIC_NAMES, block: i
     """Every shot's nearest other shot by Euclidean distance, the smaller shot_id on ties, and how many points it was compared with."""
     have = [c for c in columns if c in points.columns]
     v = F.array(*[F.col(c).cast("double") + 0.0 for c in have]).cast("array<double>")
-    shots = points.where("shot_id IS NOT NULL").select("shot_id", "shot_type", v.alias("v"))
+    # vectors are join keys: the last digits of one that is computed again may differ, and its shot would be lost
+    shots = kept(points.where("shot_id IS NOT NULL").select("shot_id", "shot_type", v.alias("v")))
     known, shots = _points(shots)
     twin = F.when(F.col("one.id") != F.col("shot_id"), F.col("one")).otherwise(F.col("two"))
     shots = shots.select("shot_id", "shot_type", "v", twin.alias("twin"))
