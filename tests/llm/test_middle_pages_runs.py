@@ -246,6 +246,27 @@ def test_unmarked_pages(spark):
     assert classes == [plain, plain]
 
 
+def test_marked_pages_meet_their_host(spark, monkeypatch):
+    """Repeated blocks of main elements go, marked or not; articles keep what they share; every page meets the strings."""
+    r = random.Random(9)
+    phrase = lambda k: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(k))
+    note, top = phrase(20), phrase(12)
+    table, want = [], {}
+    for i in range(60):
+        own = [phrase(30), phrase(r.randint(10, 40))]
+        zone = ("main", "div class='content'", "article")[i % 3]
+        blocks = [own[0], note, own[1]]
+        html = f"<div>{top}</div><{zone}>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</{zone.split()[0]}>"
+        table.append((i, f"http://h.example/{i}", html))
+        want[i] = "\n".join(blocks if zone == "article" else own)
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(3)
+    for most in (50_000, 0):
+        monkeypatch.setattr(extract, "MOST_BROADCAST", most, raising=False)
+        got = {x.page_id: x for x in extract.main_texts(df).collect()}
+        assert {k: v.text for k, v in got.items()} == want
+        assert all(v.n_repeated == 32 and v.n_outside == 12 and v.n_dropped == (k % 3 < 2) for k, v in got.items())
+
+
 def test_suffix_classes():
     r = np.random.default_rng(2)
     for width in (1, 2, 3, 5, 8):
